@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.decontaminate import decontaminate
 
@@ -48,7 +54,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(turns.unionByName(own)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_token_counts, op8_best_fit_packing, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_quality_rules, op4_token_counts, op8_best_fit_packing, op10_chat_formatting)}
 #: Escaped: backslashes doubled, then one put into each "<|"; roles also have their line ends written as "<\~".
 ORACLE: dict[str, str] = {
     "op10_chat_formatting": r"""
