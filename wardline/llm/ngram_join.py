@@ -26,11 +26,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.components import components
+from wardline.llm.linking import link_components
 from wardline.llm.store import Store
 from wardline.llm.text_arrays import LOWER, PLAIN, Words, mix, slices, unique_per_doc, utf8
 
@@ -41,7 +41,7 @@ GROUPS = {2: 8, 3: 4}
 #: Frequent tokens known to the tasks; above that FREQUENT is doubled until they fit, which changes cost only.
 MOST_FREQUENT = 1_000_000
 #: Leader rounds go on while more than this many pairs a node would be left to verify.
-PAIRS_PER_NODE, LEADER_ROUNDS = 20, 8
+PAIRS_PER_NODE = 20
 _U = np.uint64
 
 
@@ -267,60 +267,6 @@ def _signatures(docs: DataFrame, nodes: DataFrame, store: Store, n: int, percent
     return rest.unionByName(sign(texts, hot, False))
 
 
-def _links(signed: DataFrame, nodes: DataFrame, docs: DataFrame, store: Store, n: int, percent: int, salt: int) -> DataFrame | None:
-    """Verified links (a, b) with the components of all links. signed: (f1, sig) with signatures of two nodes at least."""
-    sizes = nodes.select("f1", "n")
-    roots, done, links, rounds, rows = None, None, None, 0, signed
-    most = PAIRS_PER_NODE * nodes.count()
-    while True:
-        if roots is None:
-            rows = signed.withColumn("root", F.col("f1"))
-            open_sigs = signed.groupBy("sig").agg(F.count("*").alias("n"), F.count("*").alias("own"), F.min("f1").alias("top"))
-        else:
-            rows = rows.drop("root").join(roots, F.col("f1") == F.col("node"), "left").select("f1", "sig", F.coalesce("root", "f1").alias("root"))
-            per = rows.groupBy("sig", "root").count()
-            open_sigs = per.groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"), F.max_by("root", "count").alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-            open_sigs = store.put(open_sigs, "open")
-            rows = store.put(rows.join(open_sigs.select("sig"), "sig", "left_semi"), "open-rows")
-        left = open_sigs.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
-        if not left:
-            break
-        last = left <= most or rounds >= LEADER_ROUNDS
-        if last:  # all that is open, but for pairs within the largest component of a signature
-            few = rows.join(open_sigs.select("sig", "top"), "sig").filter("root <> top").select(F.col("f1").alias("a"), "sig", F.col("root").alias("ra"))
-            pairs = rows.withColumnRenamed("f1", "b").join(few, "sig").filter("root <> ra").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            key = int(mix(np.full(1, rounds + 7, np.uint64)).view(np.int64)[0])
-            lead = rows.groupBy("sig").agg(F.min(F.col("f1").bitwiseXOR(F.lit(key))).alias("x")).select("sig", F.col("x").bitwiseXOR(F.lit(key)).alias("leader"))
-            pairs = rows.join(lead, "sig").filter("f1 <> leader").groupBy("f1", "root", "leader").count()
-            if roots is not None:
-                pairs = pairs.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("ra")), "leader", "left").filter("root <> coalesce(ra, leader)")
-            pairs = pairs.select(F.least("f1", "leader").alias("a"), F.greatest("f1", "leader").alias("b"), F.col("f1").alias("who"), "count")
-        pairs = pairs.join(sizes.select(F.col("f1").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("f1").alias("b"), F.col("n").alias("nb")), "b").filter(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100)
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        if not last:  # one leader for a node and round: the one that it shares most signatures with
-            w = Window.partitionBy("who").orderBy(F.desc("count"), "a", "b")
-            pairs = pairs.withColumn("k", F.row_number().over(w)).filter("k = 1")
-        pairs = store.put(pairs.select("a", "b").distinct(), "pairs")
-        if pairs.isEmpty():
-            if last:
-                break
-            rounds = LEADER_ROUNDS
-            continue
-        needed = store.put(nodes.join(pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct(), "f1").select("f1", "doc"), "needed")
-        texts = store.put(_read_again(docs, needed, n, percent, salt), "texts")
-        judged = store.put(_verify(pairs, texts, n, percent), "judged")
-        store.drop("texts")
-        done = judged if done is None else done.unionByName(judged)
-        links = done.filter("linked").select("a", "b")
-        if last:
-            break
-        roots = store.put(components(links, store), "roots")
-        rounds += 1
-    return links
-
-
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text), and the hashes of its set and component.
 
@@ -345,14 +291,26 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
     first = store.put(own.filter(F.col("doc_id").eqNullSafe(F.col("doc"))).select("f1", "sigs"), "first")
     told = store.put(told.select("doc_id", "n", "f1"), "documents")
     store.drop("told")
+    store.sweep()
     sigs = _signatures(rows, nodes, store, n, percent, salt, first)
     shared = sigs.groupBy("sig").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo <> hi").select("sig")
     signed = store.put(sigs.join(shared, "sig", "left_semi").distinct(), "signed")
-    links = _links(signed, nodes, rows, store, n, percent, salt)
-    if links is None:
+    for name in ("first", "touched-texts", "also-texts"):
+        store.drop(name)
+    store.sweep()
+    sizes = nodes.select("f1", "n")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sizes.select(F.col("f1").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("f1").alias("b"), F.col("n").alias("nb")), "b")
+        return both.filter(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100)
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        needed = store.put(nodes.join(pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct(), "f1").select("f1", "doc"), "needed")
+        return _verify(pairs, store.put(_read_again(rows, needed, n, percent, salt), "texts"), n, percent)
+
+    roots = link_components(signed.withColumnRenamed("f1", "node"), nodes.count(), likely, judge, store, PAIRS_PER_NODE)
+    if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
-    else:
-        roots = store.put(components(links, store), "roots")
     named = nodes.join(roots, F.col("f1") == F.col("node"), "left").select("f1", "doc", F.coalesce("root", "f1").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = store.put(named.join(smallest, "root").select("f1", "root", "component_id"), "named")

@@ -6,6 +6,7 @@ re-read and never a result.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,19 +29,24 @@ class Store:
     """Written tables of one operator call, under one folder of their own."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` as Parquet and returns a DataFrame that reads it."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
-        self.drop_names = getattr(self, "drop_names", {}) | {name: path}
+        self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of steps that are done: it does so once their plans are collected as garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Removes the table last put under ``name``; call it once nothing lazy reads it any more."""
-        if path := getattr(self, "drop_names", {}).pop(name, None):
+        if path := self.paths.pop(name, None):
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
