@@ -37,6 +37,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The query's list of unwanted domains, a fixed value of the query.
+LISTED = ("adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.url_cascade import url_verdicts
+
+    listed = spark.range(1).selectExpr(f"explode(array({', '.join(repr(x) for x in LISTED)})) AS key")
+    return url_verdicts(_table(spark, sf_dir, "pages"), listed)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,9 +71,25 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(turns.unionByName(own)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_quality_rules, op4_token_counts, op8_best_fit_packing, op9_line_dedup, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_quality_rules, op4_token_counts, op7_url_filters, op8_best_fit_packing, op9_line_dedup, op10_chat_formatting)}
 #: Escaped: backslashes doubled, then one put into each "<|"; roles also have their line ends written as "<\~".
 ORACLE: dict[str, str] = {
+    "op7_url_filters": f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM cut
+), rules(rule, domain, begins, says) AS (
+  VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'block'),
+         ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')
+), best AS (
+  SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(says, length(rule)) AS says
+  FROM parts JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, begins) GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule, coalesce(says, CASE WHEN regexp_matches(host, '(^|[.])({"|".join(x.replace(".", "[.]") for x in LISTED)})$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN best b ON p.page_id = b.page_id
+""",
     "op10_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
