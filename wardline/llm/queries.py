@@ -45,6 +45,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: The query's list of unwanted domains, a fixed value of the query.
 LISTED = ("adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
 
@@ -79,7 +85,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(turns.unionByName(own)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_quality_rules, op4_token_counts, op5_language_id, op7_url_filters, op8_best_fit_packing, op9_line_dedup, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_quality_rules, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filters, op8_best_fit_packing, op9_line_dedup, op10_chat_formatting)}
 #: Escaped: backslashes doubled, then one put into each "<|"; roles also have their line ends written as "<\~".
 ORACLE: dict[str, str] = {
     "op7_url_filters": f"""
