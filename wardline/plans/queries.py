@@ -1,3 +1,257 @@
-"""Queries over the driver's tables, by name."""
+"""Queries over the driver's tables, by name. Flags and tags are returned as comma-separated text, so any engine can compare them."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardline.functions.url import add_features, flag_conditions, normalize_url
+from wardline.operators import anomaly, cadence, clusters, graph, intelligence, profile, recommend, rules
+from wardline.plans import pipeline, report
+from wardline.plans.weblog import log_lines, weblog
+from wardline.sources.feeds import SCHEMA as FEED_SCHEMA
+from wardline.sources.logs import parse_logs
+
+#: Feeds of the queries, a fixed value of them.
+FEEDS = (
+    (0, "bad_agents", "user_agent", True, ("sqlmap", "nikto")), (1, "scripted_agents", "user_agent", True, ("python-requests", "map")), (2, "paths", "url_path", True, ("/.git", "/wp-admin", "/admin")),
+    (3, "hosts", "ip_address", True, ("10.0.0.1", "10.0.0.25")), (4, "lfi_list", "url_pattern", True, ("../..", "/etc/passwd")), (5, "xss_list", "url_pattern", True, ("<script",)), (6, "old_list", "url_pattern", False, ("/",)),
+)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add_features(weblog(spark, sf_dir))
+
+
+def _actors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = _events(spark, sf_dir)
+    return profile.as_actors(profile.actor_metrics(events)), events
+
+
+def _r(*columns: str):
+    return [F.round(F.col(c), 6).alias(c) for c in columns]
+
+
+def _joined(column: str, name: str | None = None):
+    return F.array_join(column, ",").alias(name or column)
+
+
+def _long(*columns: str):
+    return [F.col(c).cast("long").alias(c) for c in columns]
+
+
+def event_features(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_ord", "url", *_r("entropy"), *_long("url_length", "path_depth", "query_params_count"))
+
+
+def heuristic_flags(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_ord", _joined("heuristic_flags"), "is_suspicious")
+
+
+def flag_counts(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    flags = events.select(F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.coalesce(c, F.lit(False)).alias("on")) for f, c in flag_conditions().items()))).alias("x"))
+    return flags.groupBy(F.col("x.flag").alias("flag")).agg(F.count_if("x.on").alias("events"))
+
+
+def url_normalize(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", normalize_url(F.col("url")).alias("url_normalized"))
+
+
+def parsed_log(spark, sf_dir):
+    events, _ = parse_logs(log_lines(spark, sf_dir))
+    return events.select("event_ord", "timestamp", "source_ip", "url", "url_normalized", "method", "status_code", "user_agent")
+
+
+def rejected_lines(spark, sf_dir):
+    _, rejected = parse_logs(log_lines(spark, sf_dir))
+    return rejected.select("event_ord")
+
+
+def actor_metrics(spark, sf_dir):
+    return profile.actor_metrics(_events(spark, sf_dir)).select("source_ip", "actor_ord", "total_requests", "unique_urls", *_r("avg_entropy", "max_entropy", "url_diversity_ratio"), "first_seen", "last_seen")
+
+
+def top_suspicious(spark, sf_dir):
+    events = _events(spark, sf_dir).groupBy("source_ip").agg(F.count("*").alias("requests"), F.count_if("is_suspicious").alias("suspicious"))
+    return events.withColumn("ratio", F.round(F.col("suspicious") / F.col("requests"), 6)).orderBy(F.desc("ratio"), F.desc("requests"), "source_ip").limit(10)
+
+
+def _normalized(spark, sf_dir):
+    return weblog(spark, sf_dir).withColumn("url_normalized", normalize_url(F.col("url")))
+
+
+def actor_signatures(spark, sf_dir):
+    return profile.actor_signatures(_normalized(spark, sf_dir)).select("source_ip", "total_urls_count", "unique_urls_count", *_long("unique_user_agents"), *_r("time_span_seconds", "avg_events_per_second", "url_diversity_ratio", "user_agent_diversity"))
+
+
+def method_distribution(spark, sf_dir):
+    return profile.distribution(weblog(spark, sf_dir), "method")
+
+
+def status_distribution(spark, sf_dir):
+    return profile.distribution(weblog(spark, sf_dir), "status_code")
+
+
+def url_frequencies(spark, sf_dir):
+    return profile.url_frequencies(weblog(spark, sf_dir)).select("source_ip", "url", "n", *_r("frequency"))
+
+
+def behavior_vector_topk(spark, sf_dir):
+    v = profile.behavior_vectors(weblog(spark, sf_dir)).select("source_ip", F.posexplode("vector").alias("rank", "value"))
+    return v.filter("value > 0").select("source_ip", *_long("rank"), *_r("value"))
+
+
+def interval_cv(spark, sf_dir):
+    return cadence.interval_stats(weblog(spark, sf_dir)).select("source_ip", "events", "hits", *_r("mean_interval", "std_interval", "cv"))
+
+
+def cadence_tags(spark, sf_dir):
+    judged = cadence.judge(cadence.interval_stats(weblog(spark, sf_dir)))
+    return judged.select("source_ip", "rhythmic", "manual")
+
+
+def cadence_summary(spark, sf_dir):
+    return cadence.detect(*_actors(spark, sf_dir), extended=True)[1].select("total_actors", "total_rhythmic_actors", "total_manual_actors", *_r("prevalence"), "is_rhythmic")
+
+
+def actor_similarity_edges(spark, sf_dir):
+    return graph.similarity_edges(weblog(spark, sf_dir)).select("src", "dst", *_r("weight"))
+
+
+def _graph(spark, sf_dir):
+    events = weblog(spark, sf_dir)
+    return graph.graph_metrics(events.select("source_ip").distinct(), graph.similarity_edges(events))
+
+
+def clustering_coefficient(spark, sf_dir):
+    events = weblog(spark, sf_dir)
+    found = graph.clustering_coefficients(events.select("source_ip").distinct(), graph.similarity_edges(events))
+    return found.select("source_ip", "degree", "triangles", *_r("clustering"))
+
+
+def betweenness(spark, sf_dir):
+    return _graph(spark, sf_dir).select("source_ip", *_r("centrality"))
+
+
+def graph_tags(spark, sf_dir):
+    return graph.detect(*_actors(spark, sf_dir))[0].select("source_ip", *_r("centrality"), _joined("tags"))
+
+
+def graph_summary(spark, sf_dir):
+    return graph.detect(*_actors(spark, sf_dir))[1].select("total_actors", "coordinators", "cluster_members", *_r("avg_centrality"))
+
+
+def _anomalies(spark, sf_dir):
+    actors, events = _actors(spark, sf_dir)
+    return anomaly.detect(graph.detect(actors, events)[0])
+
+
+def anomaly_scores(spark, sf_dir):
+    rows = _anomalies(spark, sf_dir)[0]
+    return rows.select("source_ip", *_r("anomaly_ratio"), F.array_contains("tags", "ANOMALOUS").alias("anomalous"), F.array_contains("tags", "SUSPICIOUS").alias("suspicious"))
+
+
+def anomaly_summary(spark, sf_dir):
+    return _anomalies(spark, sf_dir)[1].select("total_actors", "anomalies", "suspicious", *_r("anomaly_rate"))
+
+
+def leader_clusters(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    return clusters.leader_clusters(profile.behavior_vectors(events), profile.actor_metrics(events))
+
+
+def clustering_summary(spark, sf_dir):
+    actors, events = _actors(spark, sf_dir)
+    return clusters.detect(actors, profile.behavior_vectors(events))[1]
+
+
+def density_clusters(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    return clusters.density_clusters(profile.behavior_vectors(events), profile.actor_metrics(events))
+
+
+def _analysis(spark, sf_dir, until=None):
+    return pipeline.analyse(weblog(spark, sf_dir), until=until)
+
+
+def cross_validation(spark, sf_dir):
+    return _analysis(spark, sf_dir, "cross_validation").actors.select("source_ip", _joined("tags"))
+
+
+def evidence_counts(spark, sf_dir):
+    rows = _analysis(spark, sf_dir, "score").actors.select(F.explode("evidence_trail").alias("e"))
+    return rows.groupBy(F.col("e.source").alias("source"), F.col("e.type").alias("type")).agg(F.count("*").alias("entries"), F.round(F.avg("e.confidence"), 6).alias("confidence"))
+
+
+def score_components(spark, sf_dir):
+    a = _analysis(spark, sf_dir, "cross_validation")
+    scored = rules.score(a.actors, rules.context_row(a.actors, **a.summaries), keep_parts=True)
+    return scored.select("source_ip", *_r("base_score", "combination_modifier", "contextual_modifier", "global_modifier", "threat_score"))
+
+
+def threat_scores(spark, sf_dir):
+    """Flagship: every actor's tags and threat score."""
+    return _analysis(spark, sf_dir, "score").actors.select("source_ip", "actor_ord", *_r("threat_score"), _joined("tags"))
+
+
+def top_actors(spark, sf_dir):
+    return report.top_actors(_analysis(spark, sf_dir, "score").actors.withColumn("threat_score", F.round("threat_score", 6))).select("source_ip", "threat_score", "actor_ord")
+
+
+def campaign_rollup(spark, sf_dir):
+    a = _analysis(spark, sf_dir, "campaigns")
+    return a.campaigns.select("campaign_id", "actors", *_r("threat_score"), _joined("primary_tags"), "campaign_type")
+
+
+def isolated_actors(spark, sf_dir):
+    return _analysis(spark, sf_dir, "campaigns").actors.filter(F.array_contains("tags", "ISOLATED_ATTACKER")).select("source_ip")
+
+
+def mitre_by_actor(spark, sf_dir):
+    return _analysis(spark, sf_dir, "narrate").techniques.select("source_ip", "technique_id", "name", "tactic", "url")
+
+
+def technique_summary(spark, sf_dir):
+    return intelligence.technique_summary(_analysis(spark, sf_dir, "narrate").techniques, "source_ip").select("tactic", _joined("technique_ids"), F.col("rows").alias("actors"))
+
+
+def recommendations(spark, sf_dir):
+    return recommend.in_order(_analysis(spark, sf_dir).advice).select("scope", "subject", "priority", "category", "title", _joined("mitre_techniques"), "confidence")
+
+
+def recommendation_summary(spark, sf_dir):
+    return recommend.recommendation_summary(_analysis(spark, sf_dir).advice)
+
+
+def report_summary(spark, sf_dir):
+    a = _analysis(spark, sf_dir, "campaigns")
+    return report.summary(a.actors, a.campaigns)
+
+
+def _feeds(spark):
+    return spark.createDataFrame([(k, n, t, on, p) for k, n, t, on, ps in FEEDS for p in ps], FEED_SCHEMA)
+
+
+def ioc_matches(spark, sf_dir):
+    w, feeds = weblog(spark, sf_dir), _feeds(spark)
+    columns = {"user_agent": "user_agent", "url_path": "url", "ip_address": "source_ip", "url_pattern": "url"}
+    found = [intelligence.ioc_matches(w.select(F.col(c).alias("value")), feeds, t).withColumn("feed_type", F.lit(t)) for t, c in columns.items()]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("feed_type", "value", "feed", "pattern", "confidence", "description")
+
+
+def feed_stats(spark, sf_dir):
+    return intelligence.feed_stats(_feeds(spark))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    event_features, heuristic_flags, flag_counts, url_normalize, parsed_log, rejected_lines, actor_metrics, top_suspicious, actor_signatures, method_distribution, status_distribution,
+    url_frequencies, behavior_vector_topk, interval_cv, cadence_tags, cadence_summary, actor_similarity_edges, clustering_coefficient, betweenness, graph_tags, graph_summary, anomaly_scores,
+    anomaly_summary, leader_clusters, clustering_summary, density_clusters, cross_validation, evidence_counts, score_components, threat_scores, top_actors, campaign_rollup, isolated_actors,
+    mitre_by_actor, technique_summary, recommendations, recommendation_summary, report_summary, ioc_matches, feed_stats,
+)}
