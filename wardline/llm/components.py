@@ -24,8 +24,8 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = store.put(large, "star-large")
+        large = store.put(large, "star-large", instead=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = store.put(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
+        now = store.put(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star", instead=True)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -18,14 +18,14 @@ from wardline.llm.store import Store
 from wardline.llm.text_arrays import mix
 
 #: Leader rounds go on while more than this many pairs a node are open.
-PAIRS_PER_NODE, LEADER_ROUNDS = 20, 8
+PAIRS_PER_NODE, LEADER_ROUNDS = 100, 8
 
 
 def link_components(signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store, per_node: int | None = None) -> DataFrame | None:
     """(node, root) for all nodes with a link, or None without any link.
 
     signed: (node, sig). likely: keeps the pairs (a, b) that can be links, by what is cheap to see. judge: pairs (a, b) to
-    (a, b, linked).
+    (a, b, linked), written. Rounds end early once what is open is at most ``per_node`` pairs a node, counted by signature.
     """
     roots, done, rounds, rows, linked = None, None, 0, signed, False
     most = (PAIRS_PER_NODE if per_node is None else per_node) * total
@@ -38,8 +38,8 @@ def link_components(signed: DataFrame, total: int, likely: Callable[[DataFrame],
             rows = rows.drop("root").join(of, F.col("node") == F.col("x"), "left").select("node", "sig", F.coalesce("r", "node").alias("root"))
             per = rows.groupBy("sig", "root").count()
             open_sigs = per.groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"), F.max_by("root", "count").alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-            open_sigs = store.put(open_sigs, "open")
-            rows = store.put(rows.join(open_sigs.select("sig"), "sig", "left_semi"), "open-rows")
+            open_sigs = store.put(open_sigs, "open", instead=True)
+            rows = store.put(rows.join(open_sigs.select("sig"), "sig", "left_semi"), "open-rows", instead=True)
         left = open_sigs.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
         if not left:
             break
@@ -66,11 +66,11 @@ def link_components(signed: DataFrame, total: int, likely: Callable[[DataFrame],
                 break
             rounds = LEADER_ROUNDS
             continue
-        judged = store.put(judge(pairs), "judged")
+        judged = judge(pairs)
         done = judged if done is None else done.unionByName(judged)
         linked = linked or not judged.filter("linked").isEmpty()
         if linked:
-            roots = store.put(components(done.filter("linked").select("a", "b"), store), "roots")
+            roots = store.put(components(done.filter("linked").select("a", "b"), store), "roots", instead=True)
         if last:
             break
         rounds += 1

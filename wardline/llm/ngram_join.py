@@ -41,7 +41,7 @@ GROUPS = {2: 8, 3: 4}
 #: Frequent tokens known to the tasks; above that FREQUENT is doubled until they fit, which changes cost only.
 MOST_FREQUENT = 1_000_000
 #: Leader rounds go on while more than this many pairs a node would be left to verify.
-PAIRS_PER_NODE = 20
+PAIRS_PER_NODE = 100
 _U = np.uint64
 
 
@@ -306,7 +306,9 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
 
     def judge(pairs: DataFrame) -> DataFrame:
         needed = store.put(nodes.join(pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct(), "f1").select("f1", "doc"), "needed")
-        return _verify(pairs, store.put(_read_again(rows, needed, n, percent, salt), "texts"), n, percent)
+        judged = store.put(_verify(pairs, store.put(_read_again(rows, needed, n, percent, salt), "texts"), n, percent), "judged")
+        store.drop("texts")
+        return judged
 
     roots = link_components(signed.withColumnRenamed("f1", "node"), nodes.count(), likely, judge, store, PAIRS_PER_NODE)
     if roots is None:

@@ -31,11 +31,13 @@ class Store:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` as Parquet and returns a DataFrame that reads it."""
+    def put(self, df: DataFrame, name: str, instead: bool = False) -> DataFrame:
+        """Writes ``df`` as Parquet and returns a DataFrame that reads it. instead: the table last put under the name goes."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
+        if instead:
+            self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
