@@ -63,8 +63,11 @@ def ancestors(messages: DataFrame, store: Store) -> tuple[DataFrame, list[DataFr
     while not state.filter("up is not null").isEmpty():
         links.append(state.filter("up is not null").select("tree", "message", "up"))
         far = state.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("s2"), F.col("root").alias("r2"))
-        joined = state.join(far, state["tree"].eqNullSafe(far["t"]) & (state["up"] == far["m"]), "left")
-        state = store.put(joined.select("tree", "message", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"), F.coalesce("root", "r2").alias("root")), f"links-{len(links)}")
+        # Only messages that haven't met their root are joined.
+        on = state.filter("up is not null")
+        joined = on.join(far, on["tree"].eqNullSafe(far["t"]) & (on["up"] == far["m"]), "left")
+        moved = joined.select("tree", "message", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"), F.coalesce("root", "r2").alias("root"))
+        state = store.put(state.filter("up is null").unionByName(moved), f"links-{len(links)}")
         steps *= 2
         if steps > rounds:  # what is still open is a cycle
             break
