@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.components import components
@@ -21,13 +21,16 @@ from wardline.llm.text_arrays import mix
 PAIRS_PER_NODE, LEADER_ROUNDS = 100, 8
 
 
-def link_components(signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store, per_node: int | None = None) -> DataFrame | None:
+def link_components(signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store, per_node: int | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame | None:
     """(node, root) for all nodes with a link, or None without any link.
 
     signed: (node, sig). likely: keeps the pairs (a, b) that can be links, by what is cheap to see. judge: pairs (a, b) to
-    (a, b, linked), written. Rounds end early once what is open is at most ``per_node`` pairs a node, counted by signature.
+    (a, b, linked), written. near: condition over further columns of ``signed``, with the endings _a and _b, that every link
+    meets; pairs that don't are never made. Rounds end early once what is open is at most ``per_node`` pairs a node, counted by signature.
     """
     roots, done, rounds, rows, linked = None, None, 0, signed, False
+    further = [c for c in signed.columns if c not in ("node", "sig")]
+    named = lambda df, side: df.withColumnsRenamed({c: f"{c}{side}" for c in further})
     most = (PAIRS_PER_NODE if per_node is None else per_node) * total
     while True:
         if roots is None:
@@ -35,7 +38,7 @@ def link_components(signed: DataFrame, total: int, likely: Callable[[DataFrame],
             open_sigs = signed.groupBy("sig").agg(F.count("*").alias("n"), F.count("*").alias("own"), F.min("node").alias("top"))
         else:
             of = roots.select(F.col("node").alias("x"), F.col("root").alias("r"))
-            rows = rows.drop("root").join(of, F.col("node") == F.col("x"), "left").select("node", "sig", F.coalesce("r", "node").alias("root"))
+            rows = rows.drop("root").join(of, F.col("node") == F.col("x"), "left").select("node", "sig", *further, F.coalesce("r", "node").alias("root"))
             per = rows.groupBy("sig", "root").count()
             open_sigs = per.groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"), F.max_by("root", "count").alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
             open_sigs = store.put(open_sigs, "open", instead=True)
@@ -45,8 +48,9 @@ def link_components(signed: DataFrame, total: int, likely: Callable[[DataFrame],
             break
         last = left <= most or rounds >= LEADER_ROUNDS
         if last:  # all that is open, but for pairs within the largest component of a signature
-            few = rows.join(open_sigs.select("sig", "top"), "sig").filter("root <> top").select(F.col("node").alias("a"), "sig", F.col("root").alias("ra"))
-            pairs = rows.withColumnRenamed("node", "b").join(few, "sig").filter("root <> ra").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            few = rows.join(open_sigs.select("sig", "top"), "sig").filter("root <> top").select(F.col("node").alias("a"), "sig", F.col("root").alias("ra"), *further)
+            both = named(rows.withColumnRenamed("node", "b"), "_b").join(named(few, "_a"), "sig").filter("root <> ra")
+            pairs = (both.filter(near("_a", "_b")) if near else both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             key = int(mix(np.full(1, rounds + 7, np.uint64)).view(np.int64)[0])
             lead = rows.groupBy("sig").agg(F.min(F.col("node").bitwiseXOR(F.lit(key))).alias("x")).select("sig", F.col("x").bitwiseXOR(F.lit(key)).alias("leader"))
