@@ -22,6 +22,7 @@ repeated rows are equal sets; an empty table gives no rows; other columns of the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +44,8 @@ MOST_FREQUENT = 1_000_000
 #: Leader rounds go on while more than this many pairs a node would be left to verify.
 PAIRS_PER_NODE = 100
 _U = np.uint64
+PARITIES = 1024
+_BINS = [f"p{k}" for k in range(PARITIES // 64)]
 
 
 def sets_of(text: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,6 +94,16 @@ def fingerprints(rows: int, doc: np.ndarray, h: np.ndarray, salt: int) -> tuple[
     return n.astype(np.int64), *out
 
 
+def parities(rows: int, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each set the parity of its tokens in each of PARITIES bins, as 64-bit words: rows x (PARITIES / 64).
+
+    Sets differ in at least as many tokens as their parities differ in bins, which rules most pairs out exactly.
+    """
+    at = doc * PARITIES + (h >> _U(64 - PARITIES.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=rows * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, PARITIES), axis=1).view(np.int64)
+
+
 def schemes(h: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Single tokens as signatures of the two schemes: (which of them, signature). Sizes near the limit use both."""
     low = small_limit(percent)
@@ -112,17 +125,19 @@ def describe(rows: DataFrame, n: int, percent: int, salt: int, keep_text: bool =
                 size, f1, f2 = fingerprints(j - i, doc, h, salt)
                 out = [b.column(0).slice(i, j - i), pa.array(size), pa.array(f1), pa.array(f2)]
                 if signed:
+                    bins = parities(j - i, doc, h)
                     each = size[doc]
                     head = np.arange(len(doc)) - (np.cumsum(size) - size)[doc] <= missing(each, percent)
                     doc, h, each = doc[head], h[head], each[head]
                     found = schemes(h, each, percent)
                     out.append(_lists(j - i, np.concatenate([doc[w] for w, _ in found]), np.concatenate([s for _, s in found])))
+                    out += [pa.array(x) for x in np.ascontiguousarray(bins.T)]
                 if keep_text:
                     out.append(b.column(1).slice(i, j - i))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "f1", "f2", *["sigs"] * signed, *["text"] * keep_text])
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "f1", "f2", *(["sigs", *_BINS] if signed else []), *["text"] * keep_text])
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, f1 long, f2 long"
-    return rows.mapInArrow(batches, schema + ", sigs array<long>" * signed + ", text string" * keep_text)
+    return rows.mapInArrow(batches, schema + (", sigs array<long>, " + ", ".join(f"{p} long" for p in _BINS)) * signed + ", text string" * keep_text)
 
 
 def _combined(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -207,16 +222,25 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
 
     def batches(it):
         for batch in it:
-            for i in range(0, batch.num_rows, 256):
-                b = batch.slice(i, 256)
-                sets = []
-                for c in (2, 3):
-                    parts = [(doc + i0, h) for i0, _, doc, h in sets_of(b.column(c), n)]
-                    sets.append((np.concatenate([d for d, _ in parts]), np.concatenate([h for _, h in parts])))
-                doc, h = (np.concatenate(x) for x in zip(*sets, strict=True))
-                distinct, _ = unique_per_doc(doc, h)
-                union = np.bincount(distinct, minlength=b.num_rows)
-                both = np.bincount(doc, minlength=b.num_rows) - union
+            offs = np.concatenate([[0], np.cumsum(sum(np.diff(utf8(batch.column(c))[1]) for c in (2, 3)))])
+            for i, j in slices(offs):
+                b = batch.slice(i, j - i)
+                doc, h, total = [], [], np.zeros(j - i, np.int64)
+                for c in (0, 1):  # each text of a slice is read once, however many pairs it is in
+                    _, at, own = np.unique(b.column(c).to_numpy(), return_index=True, return_inverse=True)
+                    parts = [(d + i0, x) for i0, _, d, x in sets_of(b.column(c + 2).take(pa.array(at)), n)]
+                    d, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    size = np.bincount(d, minlength=len(at))
+                    first, each = (np.cumsum(size) - size)[own], size[own]
+                    doc.append(np.repeat(np.arange(j - i), each))
+                    h.append(x[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - first, each)])
+                    total += each
+                doc = np.concatenate(doc)
+                key = np.concatenate(h) ^ mix(doc.astype(np.uint64))
+                order = np.argsort(key, kind="stable")
+                twice = key[order][1:] == key[order][:-1]
+                both = np.bincount(doc[order[1:][twice]], minlength=j - i)
+                union = total - both
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((100 * both >= percent * union) & (union > 0))], ["a", "b", "linked"])
 
     return rows.mapInArrow(batches, "a long, b long, linked boolean")
@@ -282,10 +306,11 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
     salt = 0
     while True:
         told = store.put(describe(rows, n, percent, salt), "told")
-        nodes = store.put(told.filter("n > 0").groupBy("f1").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), (F.min("f2") != F.max("f2")).alias("clash")), "nodes")
+        nodes = store.put(told.filter("n > 0").groupBy("f1").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), (F.min("f2") != F.max("f2")).alias("clash"), *(F.max(p).alias(p) for p in _BINS)), "nodes")
         if nodes.filter("clash").isEmpty():
             break
         salt += 1
+    bins = nodes.select("f1", "n", *_BINS)
     nodes = nodes.select("f1", "doc", "n")
     own = told.filter("n > 0").join(nodes.select("f1", "doc"), "f1")
     first = store.put(own.filter(F.col("doc_id").eqNullSafe(F.col("doc"))).select("f1", "sigs"), "first")
@@ -298,11 +323,15 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
     for name in ("first", "touched-texts", "also-texts"):
         store.drop(name)
     store.sweep()
-    sizes = nodes.select("f1", "n")
-
     def likely(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sizes.select(F.col("f1").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("f1").alias("b"), F.col("n").alias("nb")), "b")
-        return both.filter(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100)
+        """By size, and by the tokens in which the sets can differ at most."""
+        both = pairs
+        for side in ("a", "b"):
+            both = both.join(bins.select(F.col("f1").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *_BINS))), side)
+        total = F.col("n_a") + F.col("n_b")
+        most = total - 2 * F.ceil(percent * total / (100 + percent))
+        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _BINS))
+        return both.filter((F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100) & (apart <= most)).select(*pairs.columns)
 
     def judge(pairs: DataFrame) -> DataFrame:
         needed = store.put(nodes.join(pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct(), "f1").select("f1", "doc"), "needed")
