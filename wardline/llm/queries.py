@@ -73,7 +73,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.line_dedup import dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, shortest=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
