@@ -5,7 +5,7 @@ and a rest. What is packed is the histogram of piece lengths, which has at most
 corpus holds: a *pattern* (the lengths in one sequence) is used many times over. Patterns come from
 
 * an incumbent by best fit, longest lengths first, and
-* bin completion: around the largest length that is left, all undominated fillings are enumerated, best filled first,
+* bin completion: around the largest length that is left, up to 12 maximal fillings are searched for, best filled first,
   and used as often as their lengths last. A branch is cut off when the waste of its sequences passes what a better
   result than the incumbent may waste. Search stops at the lower bound or after ``NODES`` nodes; the incumbent stands.
 
@@ -94,10 +94,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> dict[Pattern, int]:
 
 
 def fillings(counts: dict[int, int], largest: int, capacity: int, most: int = 12) -> list[Pattern]:
-    """Undominated fillings of the sequence that holds ``largest``, the fullest first, at most ``most`` of them.
+    """Maximal fillings of the sequence that holds ``largest``, the fullest first, at most ``most`` of those found in ``FILLING_NODES`` steps.
 
-    A filling is dominated if a piece that is left fits in the room it leaves, or if one of its pieces could give way to a
-    longer one that is left: the search takes lengths from long to short and keeps only maximal fillings.
+    A filling is maximal if no piece that is left fits in the room it leaves. The search takes lengths from long to short; that
+    no piece could give way to a longer one is not tested.
     """
     lengths = sorted((n for n, c in counts.items() if c - (n == largest) > 0 and n <= capacity - largest), reverse=True)
     keys = [-n for n in lengths]
