@@ -58,6 +58,11 @@ def _shown(a: Analysis, campaigns: int) -> dict:
     return {"summary": summary(a.actors, a.campaigns).first().asDict(), "actors": [r.asDict(True) for r in cut.collect()], "campaigns": [r.asDict(True) for r in a.campaigns.orderBy(order).limit(campaigns).collect()], "context": {r["key"]: r["value"] for r in context_entries(a.context).collect()}}
 
 
+def _left_out(shown: dict) -> dict[str, int]:
+    """Actors and campaigns that a report counts but doesn't show."""
+    return {x: shown["summary"][f"total_{x}"] - len(shown[x]) for x in ("actors", "campaigns")}
+
+
 def text_report(shown: dict) -> str:
     s, out = shown["summary"], ["THREAT ANALYSIS REPORT", f"Generated: {datetime.now(UTC):%Y-%m-%d %H:%M:%S}", ""]
     out += [f"Total Threat Actors: {s['total_actors']}", f"Total Campaigns: {s['total_campaigns']}", f"High Threat Actors (>7.0): {s['high_threat_actors']}", f"Tagged Actors: {s['tagged_actors']}", ""]
@@ -68,19 +73,22 @@ def text_report(shown: dict) -> str:
         out += [f"... and {s['total_actors'] - TOP} more actors", ""]
     for i, x in enumerate(shown["campaigns"], 1):
         out += [f"Campaign {i}: {x['campaign_id']}", f"Threat Score: {x['threat_score']:.2f}", f"Type: {x['campaign_type']}", f"Primary Tags: {', '.join(x['primary_tags']) or 'None'}", f"Actors: {x['actors']}", *(f"  - {e['source']}: {e['details']}" for e in x["evidence_trail"][-2:]), ""]
+    if n := _left_out(shown)["campaigns"]:
+        out += [f"... and {n} more campaigns", ""]
     return "\n".join([*out, *(f"{k}: {v}" for k, v in shown["context"].items())])
 
 
 def json_report(shown: dict) -> str:
-    return json.dumps({"metadata": {"generated_at": datetime.now(UTC).isoformat()}, **shown}, indent=2, default=str)
+    return json.dumps({"metadata": {"generated_at": datetime.now(UTC).isoformat(), "left_out": _left_out(shown)}, **shown}, indent=2, default=str)
 
 
 def html_report(shown: dict) -> str:
     e = lambda x: html.escape(str(x))
     cards = "".join(f"<div class='card'><b>{e(v)}</b> {e(k.replace('_', ' '))}</div>" for k, v in shown["summary"].items())
     rows = lambda xs, key: "".join(f"<section><h3>{e(x[key])}</h3><p>Score {x['threat_score']:.2f}</p><p>{e(', '.join(x.get('tags') or x.get('primary_tags') or []))}</p></section>" for x in xs)
+    more = {k: f"<p>... and {n} more {k}</p>" if n else "" for k, n in _left_out(shown).items()}
     context = "".join(f"<tr><td>{e(k)}</td><td>{e(v)}</td></tr>" for k, v in shown["context"].items())
-    return f"<!DOCTYPE html><html><body><h1>Threat analysis</h1>{cards}<h2>Threat Actors</h2>{rows(shown['actors'], 'source_ip')}<h2>Campaigns</h2>{rows(shown['campaigns'], 'campaign_id')}<h2>Context</h2><table>{context}</table></body></html>"
+    return f"<!DOCTYPE html><html><body><h1>Threat analysis</h1>{cards}<h2>Threat Actors</h2>{rows(shown['actors'], 'source_ip')}{more['actors']}<h2>Campaigns</h2>{rows(shown['campaigns'], 'campaign_id')}{more['campaigns']}<h2>Context</h2><table>{context}</table></body></html>"
 
 
 RENDERERS = {"html": html_report, "json": json_report, "text": text_report}
