@@ -21,24 +21,27 @@ from wardline.llm.text_arrays import mix
 PAIRS_PER_NODE, LEADER_ROUNDS = 100, 8
 
 
-def link_components(signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store, per_node: int | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame | None:
+def link_components(
+    signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store,
+    per_node: int | None = None, near: Callable[[str, str], Column] | None = None, least_rounds: int = 0,
+) -> DataFrame | None:
     """(node, root) for all nodes with a link, or None without any link.
 
     signed: (node, sig). likely: keeps the pairs (a, b) that can be links, by what is cheap to see. judge: pairs (a, b) to
     (a, b, linked), written. near: condition over further columns of ``signed``, with the endings _a and _b, that every link
-    meets; pairs that don't are never made. Rounds end early once what is open is at most ``per_node`` pairs a node, counted by signature.
+    meets; pairs that don't are never made. Rounds end early once what is open is at most ``per_node`` pairs a node, counted by
+    signature, but not before ``least_rounds``.
     """
-    roots, done, rounds, rows, linked = None, None, 0, signed, False
+    roots, done, rounds, rows = None, None, 0, signed
     further = [c for c in signed.columns if c not in ("node", "sig")]
-    named = lambda df, side: df.withColumnsRenamed({c: f"{c}{side}" for c in further})
     most = (PAIRS_PER_NODE if per_node is None else per_node) * total
     while True:
         if roots is None:
             rows = signed.withColumn("root", F.col("node"))
             open_sigs = signed.groupBy("sig").agg(F.count("*").alias("n"), F.count("*").alias("own"), F.min("node").alias("top"))
         else:
-            of = roots.select(F.col("node").alias("x"), F.col("root").alias("r"))
-            rows = rows.drop("root").join(of, F.col("node") == F.col("x"), "left").select("node", "sig", *further, F.coalesce("r", "node").alias("root"))
+            of = roots.select("node", F.col("root").alias("r"))
+            rows = rows.drop("root").join(of, "node", "left").select("node", "sig", *further, F.coalesce("r", "node").alias("root"))
             per = rows.groupBy("sig", "root").count()
             open_sigs = per.groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"), F.max_by("root", "count").alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
             open_sigs = store.put(open_sigs, "open", instead=True)
@@ -46,37 +49,36 @@ def link_components(signed: DataFrame, total: int, likely: Callable[[DataFrame],
         left = open_sigs.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
         if not left:
             break
-        last = left <= most or rounds >= LEADER_ROUNDS
+        last = rounds >= least_rounds and (left <= most or rounds >= LEADER_ROUNDS)
+        held = lambda df, side: df.withColumnsRenamed({c: f"{c}{side}" for c in ("node", "root", *further)})
         if last:  # all that is open, but for pairs within the largest component of a signature
-            few = rows.join(open_sigs.select("sig", "top"), "sig").filter("root <> top").select(F.col("node").alias("a"), "sig", F.col("root").alias("ra"), *further)
-            both = named(rows.withColumnRenamed("node", "b"), "_b").join(named(few, "_a"), "sig").filter("root <> ra")
-            pairs = (both.filter(near("_a", "_b")) if near else both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            against = rows.join(open_sigs.select("sig", "top"), "sig").filter("root <> top").drop("top")
         else:
             key = int(mix(np.full(1, rounds + 7, np.uint64)).view(np.int64)[0])
-            lead = rows.groupBy("sig").agg(F.min(F.col("node").bitwiseXOR(F.lit(key))).alias("x")).select("sig", F.col("x").bitwiseXOR(F.lit(key)).alias("leader"))
-            pairs = rows.join(lead, "sig").filter("node <> leader").groupBy("node", "root", "leader").count()
-            if roots is not None:
-                pairs = pairs.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("ra")), "leader", "left").filter("root <> coalesce(ra, leader)")
-            pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.col("node").alias("who"), "count")
-        pairs = likely(pairs)
+            chosen = rows.groupBy("sig").agg(F.min(F.col("node").bitwiseXOR(F.lit(key))).alias("x"))
+            against = rows.join(chosen, "sig").filter(F.col("node").bitwiseXOR(F.lit(key)) == F.col("x")).drop("x")
+        pairs = held(rows, "_b").join(held(against, "_a"), "sig").filter("root_a <> root_b")
+        pairs = (pairs.filter(near("_a", "_b")) if near else pairs).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.col("node_b").alias("who"))
+        pairs = likely(pairs.select("a", "b").distinct() if last else pairs.groupBy("a", "b", "who").count())
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         if not last:  # one leader for a node and round: the one that it shares most signatures with
             w = Window.partitionBy("who").orderBy(F.desc("count"), "a", "b")
-            pairs = pairs.withColumn("k", F.row_number().over(w)).filter("k = 1")
-        pairs = store.put(pairs.select("a", "b").distinct(), "pairs")
+            pairs = pairs.withColumn("k", F.row_number().over(w)).filter("k = 1").select("a", "b").distinct()
+        pairs = store.put(pairs.select("a", "b"), "pairs", instead=True)
         if pairs.isEmpty():
             if last:
                 break
-            rounds = LEADER_ROUNDS
+            rounds, least_rounds = LEADER_ROUNDS, 0
             continue
         judged = judge(pairs)
         done = judged if done is None else done.unionByName(judged)
-        linked = linked or not judged.filter("linked").isEmpty()
-        if linked:
-            roots = store.put(components(done.filter("linked").select("a", "b"), store), "roots", instead=True)
+        if not judged.filter("linked").isEmpty():
+            now = judged.filter("linked").select("a", "b")
+            if roots is not None:  # what was linked before is a star around each root
+                now = now.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = store.put(components(now, store), "roots", instead=True)
         if last:
             break
         rounds += 1
-        store.sweep()
     return roots

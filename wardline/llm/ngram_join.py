@@ -316,13 +316,13 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
     first = store.put(own.filter(F.col("doc_id").eqNullSafe(F.col("doc"))).select("f1", "sigs"), "first")
     told = store.put(told.select("doc_id", "n", "f1"), "documents")
     store.drop("told")
-    store.sweep()
+
     sigs = _signatures(rows, nodes, store, n, percent, salt, first)
     shared = sigs.groupBy("sig").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo <> hi").select("sig")
     signed = store.put(sigs.join(shared, "sig", "left_semi").distinct(), "signed")
     for name in ("first", "touched-texts", "also-texts"):
         store.drop(name)
-    store.sweep()
+
     def likely(pairs: DataFrame) -> DataFrame:
         """By size, and by the tokens in which the sets can differ at most."""
         both = pairs

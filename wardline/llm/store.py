@@ -6,7 +6,6 @@ re-read and never a result.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -30,10 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Store:
-    """Written tables of one operator call, under one folder of their own."""
+    """Written tables of one operator call, under one folder of their own, which goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
+        system, path = self._path(self.root)
+        system.deleteOnExit(path)
+
+    def _path(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def put(self, df: DataFrame, name: str, instead: bool = False) -> DataFrame:
         """Writes ``df`` as Parquet and returns a DataFrame that reads it. instead: the table last put under the name goes."""
@@ -50,14 +55,13 @@ class Store:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def sweep(self) -> None:
-        """Lets Spark delete the shuffle files of steps that are done: it does so once their plans are collected as garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, name: str) -> None:
-        """Removes the table last put under ``name``; call it once nothing lazy reads it any more."""
-        if path := self.paths.pop(name, None):
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *names: str) -> None:
+        """Removes the tables last put under the names; call it once nothing lazy reads them any more."""
+        for name in names:
+            if path := self.paths.pop(name, None):
+                system, p = self._path(path)
+                system.delete(p, True)
+
+    def keep(self, *names: str) -> None:
+        """Removes all tables but those last put under the names."""
+        self.drop(*(x for x in [*self.paths] if x not in names))
