@@ -19,21 +19,40 @@ from wardline.llm.text_arrays import mix
 
 #: Leader rounds go on while more than this many pairs a node are open.
 PAIRS_PER_NODE, LEADER_ROUNDS = 100, 8
+#: Nodes of a signature up to which all its pairs are made at once: work in proportion to the rows.
+FEW = 16
+#: Ids up to which a set of nodes is sent to all tasks (8 MB); larger ones are joined by a shuffle.
+SENT = 1_000_000
+
+
+def only(rows: DataFrame, column: str, pairs: DataFrame, store: Store) -> DataFrame:
+    """The rows whose column is a node of ``pairs`` (a, b)."""
+    ids = store.put(pairs.select(F.col("a").alias(column)).union(pairs.select("b")).distinct(), "ids", instead=True)
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, column, "left_semi")
 
 
 def link_components(
     signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store,
-    per_node: int | None = None, near: Callable[[str, str], Column] | None = None, least_rounds: int = 0,
+    per_node: int | None = None, near: Callable[[str, str], Column] | None = None,
 ) -> DataFrame | None:
     """(node, root) for all nodes with a link, or None without any link.
 
-    signed: (node, sig). likely: keeps the pairs (a, b) that can be links, by what is cheap to see. judge: pairs (a, b) to
-    (a, b, linked), written. near: condition over further columns of ``signed``, with the endings _a and _b, that every link
-    meets; pairs that don't are never made. Rounds end early once what is open is at most ``per_node`` pairs a node, counted by
-    signature, but not before ``least_rounds``.
+    signed: (node, sig, count), with the nodes of each signature. likely: keeps the pairs (a, b) that can be links, by what is
+    cheap to see. judge: pairs (a, b) to (a, b, linked), written. near: condition over further columns of ``signed``, with the
+    endings _a and _b, that every link meets; pairs that don't are never made. Signatures of ``FEW`` nodes give all their
+    pairs; the others are held against leaders, one round at least, until what is open is at most ``per_node`` pairs a node, counted by signature.
     """
+    further = [c for c in signed.columns if c not in ("node", "sig", "count")]
+    held = lambda df, side: df.withColumnsRenamed({c: f"{c}{side}" for c in ("node", "root", *further)})
+
+    def met(rows: DataFrame, against: DataFrame, apart) -> DataFrame:
+        pairs = held(rows, "_b").join(held(against, "_a"), "sig").filter(apart)
+        pairs = pairs.filter(near("_a", "_b")) if near else pairs
+        return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.col("node_b").alias("who"))
+
+    few, signed = signed.filter(F.col("count") <= FEW).drop("count"), signed.filter(F.col("count") > FEW).drop("count")
+    first = likely(met(few, few, F.col("node_a") < F.col("node_b")).select("a", "b").distinct())
     roots, done, rounds, rows = None, None, 0, signed
-    further = [c for c in signed.columns if c not in ("node", "sig")]
     most = (PAIRS_PER_NODE if per_node is None else per_node) * total
     while True:
         if roots is None:
@@ -47,29 +66,29 @@ def link_components(
             open_sigs = store.put(open_sigs, "open", instead=True)
             rows = store.put(rows.join(open_sigs.select("sig"), "sig", "left_semi"), "open-rows", instead=True)
         left = open_sigs.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
-        if not left:
+        if not left and first is None:
             break
-        last = rounds >= least_rounds and (left <= most or rounds >= LEADER_ROUNDS)
-        held = lambda df, side: df.withColumnsRenamed({c: f"{c}{side}" for c in ("node", "root", *further)})
+        last = rounds > 0 and ((left or 0) <= most or rounds >= LEADER_ROUNDS)
         if last:  # all that is open, but for pairs within the largest component of a signature
             against = rows.join(open_sigs.select("sig", "top"), "sig").filter("root <> top").drop("top")
         else:
             key = int(mix(np.full(1, rounds + 7, np.uint64)).view(np.int64)[0])
             chosen = rows.groupBy("sig").agg(F.min(F.col("node").bitwiseXOR(F.lit(key))).alias("x"))
             against = rows.join(chosen, "sig").filter(F.col("node").bitwiseXOR(F.lit(key)) == F.col("x")).drop("x")
-        pairs = held(rows, "_b").join(held(against, "_a"), "sig").filter("root_a <> root_b")
-        pairs = (pairs.filter(near("_a", "_b")) if near else pairs).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.col("node_b").alias("who"))
+        pairs = met(rows, against, F.col("root_a") != F.col("root_b"))
         pairs = likely(pairs.select("a", "b").distinct() if last else pairs.groupBy("a", "b", "who").count())
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         if not last:  # one leader for a node and round: the one that it shares most signatures with
             w = Window.partitionBy("who").orderBy(F.desc("count"), "a", "b")
             pairs = pairs.withColumn("k", F.row_number().over(w)).filter("k = 1").select("a", "b").distinct()
+        if first is not None:
+            pairs, first = first.unionByName(pairs.select("a", "b")).distinct(), None
         pairs = store.put(pairs.select("a", "b"), "pairs", instead=True)
         if pairs.isEmpty():
             if last:
                 break
-            rounds, least_rounds = LEADER_ROUNDS, 0
+            rounds = LEADER_ROUNDS
             continue
         judged = judge(pairs)
         done = judged if done is None else done.unionByName(judged)

@@ -318,8 +318,8 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
     store.drop("told")
 
     sigs = _signatures(rows, nodes, store, n, percent, salt, first)
-    shared = sigs.groupBy("sig").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo <> hi").select("sig")
-    signed = store.put(sigs.join(shared, "sig", "left_semi").distinct(), "signed")
+    shared = sigs.groupBy("sig").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.count("*").alias("count")).filter("lo <> hi").select("sig", "count")
+    signed = store.put(sigs.join(shared, "sig").distinct(), "signed")
     for name in ("first", "touched-texts", "also-texts"):
         store.drop(name)
 
