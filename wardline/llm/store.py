@@ -40,14 +40,14 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def put(self, df: DataFrame, name: str, instead: bool = False) -> DataFrame:
-        """Writes ``df`` as Parquet and returns a DataFrame that reads it. instead: the table last put under the name goes."""
+    def put(self, df: DataFrame, name: str, instead: bool = False, tight: bool = False) -> DataFrame:
+        """Writes ``df`` as Parquet and returns a DataFrame that reads it. instead: the table last put under the name goes. tight: for less disk."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, compression="zstd" if tight else "snappy")
         finally:
             self.spark.conf.set(CLEANUP, before)
         if instead:
