@@ -12,15 +12,13 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
 
     A hub's edges are never gathered in one place: minima are pre-aggregated and joined back, where large partitions can
-    be split. Each round is written to the shared folder; rounds end once the edges stay the same.
+    be split. Each round is written to the shared folder; rounds end once all edges are stars around roots.
     """
     now = store.put(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    before = None
     while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before or not mark["n"]:
-            break
-        before = mark
+        tops = now.select(F.col("v").alias("u")).distinct()
+        if now.join(tops, "u", "left_semi").select("u").unionByName(now.groupBy("u").count().filter("count > 1").select("u")).isEmpty():
+            break  # each node hangs on one root, and no root on another
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

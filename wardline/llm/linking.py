@@ -33,13 +33,13 @@ def only(rows: DataFrame, column: str, pairs: DataFrame, store: Store) -> DataFr
 
 def link_components(
     signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store,
-    per_node: int | None = None, near: Callable[[str, str], Column] | None = None,
+    per_node: int | None = None, near: Callable[[str, str], Column] | None = None, few: int = FEW,
 ) -> DataFrame | None:
     """(node, root) for all nodes with a link, or None without any link.
 
     signed: (node, sig, count), with the nodes of each signature. likely: keeps the pairs (a, b) that can be links, by what is
     cheap to see. judge: pairs (a, b) to (a, b, linked), written. near: condition over further columns of ``signed``, with the
-    endings _a and _b, that every link meets; pairs that don't are never made. Signatures of ``FEW`` nodes give all their
+    endings _a and _b, that every link meets; pairs that don't are never made. Signatures of ``few`` nodes at most give all their
     pairs; the others are held against leaders, one round at least, until what is open is at most ``per_node`` pairs a node, counted by signature.
     """
     further = [c for c in signed.columns if c not in ("node", "sig", "count")]
@@ -50,8 +50,11 @@ def link_components(
         pairs = pairs.filter(near("_a", "_b")) if near else pairs
         return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.col("node_b").alias("who"))
 
-    few, signed = signed.filter(F.col("count") <= FEW).drop("count"), signed.filter(F.col("count") > FEW).drop("count")
-    first = likely(met(few, few, F.col("node_a") < F.col("node_b")).select("a", "b").distinct())
+    first = None
+    if few:
+        small, signed = signed.filter(F.col("count") <= few).drop("count"), signed.filter(F.col("count") > few)
+        first = likely(met(small, small, F.col("node_a") < F.col("node_b")).select("a", "b").distinct())
+    signed = signed.drop("count")
     roots, done, rounds, rows = None, None, 0, signed
     most = (PAIRS_PER_NODE if per_node is None else per_node) * total
     while True:

@@ -36,7 +36,7 @@ from wardline.llm.store import Store
 from wardline.llm.text_arrays import LOWER, PLAIN, Words, mix, slices, unique_per_doc, utf8
 
 #: Signatures that more nodes share than these are of class 2 and 3: combinations of two and of three tokens.
-FREQUENT, VERY_FREQUENT = 64, 4000
+FREQUENT, VERY_FREQUENT = 1000, 30_000
 #: Hash groups of combinations, by class.
 GROUPS = {2: 8, 3: 4}
 #: Frequent tokens known to the tasks; above that FREQUENT is doubled until they fit, which changes cost only.
@@ -336,10 +336,10 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
     def judge(pairs: DataFrame) -> DataFrame:
         needed = store.put(nodes.join(pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct(), "f1").select("f1", "doc"), "needed")
         judged = store.put(_verify(pairs, store.put(_read_again(rows, needed, n, percent, salt), "texts"), n, percent), "judged")
-        store.drop("texts")
+        store.drop("texts", "needed")
         return judged
 
-    roots = link_components(signed.withColumnRenamed("f1", "node"), nodes.count(), likely, judge, store, PAIRS_PER_NODE)
+    roots = link_components(signed.withColumnRenamed("f1", "node"), nodes.count(), likely, judge, store, PAIRS_PER_NODE, few=0)
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     named = nodes.join(roots, F.col("f1") == F.col("node"), "left").select("f1", "doc", F.coalesce("root", "f1").alias("root"))
@@ -352,21 +352,22 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with one of each component, the one with its smallest doc_id. Rows without words all stay."""
+    """The rows of ``docs`` with one of each component, the one with its smallest doc_id. Rows without words all stay; columns may have any names."""
     found, salt = _components(docs, n, percent)
     chosen = found.filter("set_id is not null and doc_id <=> component_id").groupBy("set_root").agg(F.min("set_id").alias("__set"), F.min("doc_id").alias("__id"))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"))
+    unpacked = [F.col("row").getField(c).alias(c) for c in docs.columns]
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         stay = found.filter("set_id is null").select(F.col("doc_id").alias("__id")).unionByName(chosen.select("__id"))
-        return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+        return packed.join(stay, F.col("id").eqNullSafe(F.col("__id")), "left_semi").select(*unpacked)
     # Repeated ids: rows are told apart by their sets.
-    at, schema = docs.columns.index("text"), docs.schema
-
     def batches(it):
         for b in it:
-            for i, j, doc, h in sets_of(b.column(at), n):
+            for i, j, doc, h in sets_of(b.column(2), n):
                 size, f1, _ = fingerprints(j - i, doc, h, salt)
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(size), pa.array(f1)], [*b.schema.names, "__n", "__f1"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(size), pa.array(f1)], ["row", "id", "n", "f1"])
 
-    told = docs.mapInArrow(batches, T.StructType([*schema.fields, T.StructField("__n", T.LongType()), T.StructField("__f1", T.LongType())]))
-    one = told.filter("__n > 0").join(chosen, (F.col("__f1") == F.col("__set")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__f1"])
-    return told.filter("__n = 0").unionByName(one).drop("__n", "__f1")
+    schema = T.StructType([*packed.schema.fields, T.StructField("n", T.LongType()), T.StructField("f1", T.LongType())])
+    told = packed.withColumn("body", F.col("row").getField("text").cast("string")).mapInArrow(batches, schema)
+    one = told.filter("n > 0").join(chosen, (F.col("f1") == F.col("__set")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["f1"])
+    return told.filter("n = 0").unionByName(one).select(*unpacked)
