@@ -225,7 +225,7 @@ def test_techniques_indicators_and_advice(spark):
     rows = actor_rows(spark, [{"tags": ["AUTOMATED_SCAN", "CONFIRMED_BOTNET", "SQL_INJECTION"], "threat_score": 9.0}, {"tags": ["NONE"]}, {"tags": ["ISOLATED_INDICATOR"]}])
     found = intelligence.techniques_for(rows, "source_ip", aliases=True)
     assert {(r.source_ip, r.technique_id) for r in found.collect()} == {("ip0", t) for t in ("T1595", "T1071.001", "T1071.002", "T1190")} | {("ip2", "T1595")}
-    assert spark.range(1).select(intelligence.reference(F.lit("T1105"), spark), intelligence.reference(F.lit("T1"), spark)).first()[:] == ("T1105 - Ingress Tool Transfer (Lateral Movement)", "T1")
+    assert spark.range(1).select(intelligence.reference(F.lit("T1105")), intelligence.reference(F.lit("T1"))).first()[:] == ("T1105 - Ingress Tool Transfer (Lateral Movement)", "T1")
     feeds = spark.createDataFrame([(0, "one", "ip_address", True, "1.2.3.4"), (1, "two", "ip_address", True, "1.2"), (2, "off", "ip_address", False, "9")], "feed_ord int, feed string, feed_type string, enabled boolean, pattern string")
     hits = {r.value: (r.feed, r.pattern, r.confidence) for r in intelligence.ioc_matches(spark.createDataFrame([("11.2.3.40",), ("1.2.9.9",), (None,), ("9.9.9.9",)], "value string"), feeds, "ip_address").collect()}
     assert hits == {"11.2.3.40": ("one", "1.2.3.4", 0.95), "1.2.9.9": ("two", "1.2", 0.95)}

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from wardline.functions.url import AGENT_PATTERN, EXTENSIONS, FLAG_PATTERNS, PROBED_PATHS
-from wardline.operators.intelligence import TECHNIQUES
-from wardline.operators.meta import ALIASES
 from wardline.operators.rules import ATTACKS, COMBINATIONS, PROFILES
 
 
@@ -197,17 +195,12 @@ SCORES = f""", context AS (
   SELECT *, base_score * combination_modifier * contextual_modifier * global_modifier AS threat_score FROM parts
 )"""
 
-_mapped = ", ".join(f"({_q(tag)}, {_q(t[0])})" for t in TECHNIQUES for tag in t[3].split())
-_named = ", ".join(f"({_q(t[0])}, {_q(t[1])}, {_q(t[2])})" for t in TECHNIQUES)
-_alias = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in ALIASES.items())
-
 
 def _all(*parts: str) -> str:
     return "WITH RECURSIVE " + "".join(parts).lstrip(", ")
 
 
 _FULL = (FEATURES, METRICS, CADENCE, GRAPH, ANOMALY, LEADERS, TAGS, SCORES)
-_TECH = f""", mapped(tag, technique_id) AS (VALUES {_mapped}), named(technique_id, name, tactic) AS (VALUES {_named}), aliases(tag, other) AS (VALUES {_alias})"""
 _NORMAL = """regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')"""
 _PATH = "regexp_replace(regexp_extract(url, '(?s)^([^?#]*)', 1), ';[^/]*$', '')"
 _LINE = "event_ord % 50 <> 49"

@@ -52,15 +52,11 @@ def write_reports(a: Analysis, folder: str) -> None:
         rows.write.mode("overwrite").text(f"{folder}/{name}")
 
 
-def _shown(a: Analysis, campaigns: int) -> dict:
+def _shown(a: Analysis) -> dict:
+    """What text and HTML show: the top actors with their last evidence, and all campaigns."""
     cut = top_actors(a.actors).select("source_ip", "threat_score", "tags", "total_requests", "unique_urls", "avg_entropy", "anomaly_ratio", last_evidence(F.col("evidence_trail"), LAST).alias("trail"))
     order = F.regexp_extract("campaign_id", r"(\d+)$", 1).try_cast("long")
-    return {"summary": summary(a.actors, a.campaigns).first().asDict(), "actors": [r.asDict(True) for r in cut.collect()], "campaigns": [r.asDict(True) for r in a.campaigns.orderBy(order).limit(campaigns).collect()], "context": {r["key"]: r["value"] for r in context_entries(a.context).collect()}}
-
-
-def _left_out(shown: dict) -> dict[str, int]:
-    """Actors and campaigns that a report counts but doesn't show."""
-    return {x: shown["summary"][f"total_{x}"] - len(shown[x]) for x in ("actors", "campaigns")}
+    return {"summary": summary(a.actors, a.campaigns).first().asDict(), "actors": [r.asDict(True) for r in cut.collect()], "campaigns": [r.asDict(True) for r in a.campaigns.orderBy(order).collect()], "context": {r["key"]: r["value"] for r in context_entries(a.context).collect()}}
 
 
 def text_report(shown: dict) -> str:
@@ -73,33 +69,51 @@ def text_report(shown: dict) -> str:
         out += [f"... and {s['total_actors'] - TOP} more actors", ""]
     for i, x in enumerate(shown["campaigns"], 1):
         out += [f"Campaign {i}: {x['campaign_id']}", f"Threat Score: {x['threat_score']:.2f}", f"Type: {x['campaign_type']}", f"Primary Tags: {', '.join(x['primary_tags']) or 'None'}", f"Actors: {x['actors']}", *(f"  - {e['source']}: {e['details']}" for e in x["evidence_trail"][-2:]), ""]
-    if n := _left_out(shown)["campaigns"]:
-        out += [f"... and {n} more campaigns", ""]
     return "\n".join([*out, *(f"{k}: {v}" for k, v in shown["context"].items())])
 
 
 def json_report(shown: dict) -> str:
-    return json.dumps({"metadata": {"generated_at": datetime.now(UTC).isoformat(), "left_out": _left_out(shown)}, **shown}, indent=2, default=str)
+    return json.dumps({"metadata": {"generated_at": datetime.now(UTC).isoformat()}, **shown}, indent=2, default=str)
+
+
+def console_summary(a: Analysis, actors: int = 5) -> str:
+    """The evidence of the first actors, by appearance, last three entries each, and of all campaigns, last two."""
+    said = lambda trail: [f"    [{e['source']}] {e['details']}" for e in trail]
+    first = a.actors.orderBy("actor_ord").limit(actors).select("source_ip", "threat_score", last_evidence(F.col("evidence_trail"), LAST).alias("trail")).collect()
+    out = ["EVIDENCE SUMMARY"]
+    for r in first:
+        out += [f"  Actor {r.source_ip}: score {r.threat_score:.2f}", *said(r.trail)]
+    for r in a.campaigns.orderBy("campaign_id").select("campaign_id", "threat_score", last_evidence(F.col("evidence_trail"), 2).alias("trail")).toLocalIterator():
+        out += [f"  Campaign {r.campaign_id}: score {r.threat_score:.2f}", *said(r.trail)]
+    return "\n".join(out)
 
 
 def html_report(shown: dict) -> str:
     e = lambda x: html.escape(str(x))
     cards = "".join(f"<div class='card'><b>{e(v)}</b> {e(k.replace('_', ' '))}</div>" for k, v in shown["summary"].items())
-    rows = lambda xs, key: "".join(f"<section><h3>{e(x[key])}</h3><p>Score {x['threat_score']:.2f}</p><p>{e(', '.join(x.get('tags') or x.get('primary_tags') or []))}</p></section>" for x in xs)
-    more = {k: f"<p>... and {n} more {k}</p>" if n else "" for k, n in _left_out(shown).items()}
+    rows = lambda xs, key: "".join(f"<section><h3>{e(x[key])}</h3><p>Score {x['threat_score']:.2f}</p><p>{e(', '.join(x.get('tags') or x.get('primary_tags') or []))}</p><ul>{''.join(f"<li>{e(y['source'])}: {e(y['details'])}</li>" for y in x.get('trail', x.get('evidence_trail', []))[-LAST:])}</ul></section>" for x in xs)
+    n = shown["summary"]["total_actors"] - len(shown["actors"])
+    more = f"<p>... and {n} more actors</p>" if n else ""
     context = "".join(f"<tr><td>{e(k)}</td><td>{e(v)}</td></tr>" for k, v in shown["context"].items())
-    return f"<!DOCTYPE html><html><body><h1>Threat analysis</h1>{cards}<h2>Threat Actors</h2>{rows(shown['actors'], 'source_ip')}{more['actors']}<h2>Campaigns</h2>{rows(shown['campaigns'], 'campaign_id')}{more['campaigns']}<h2>Context</h2><table>{context}</table></body></html>"
+    return f"<!DOCTYPE html><html><body><h1>Threat analysis</h1>{cards}<h2>Threat Actors</h2>{rows(shown['actors'], 'source_ip')}{more}<h2>Campaigns</h2>{rows(shown['campaigns'], 'campaign_id')}<h2>Context</h2><table>{context}</table></body></html>"
 
 
 RENDERERS = {"html": html_report, "json": json_report, "text": text_report}
 
 
-def generate_reports(a: Analysis, formats=("html", "json", "text"), campaigns: int = 50) -> dict[str, str]:
+def whole_json(a: Analysis, shown: dict) -> str:
+    """The JSON report: all actors and campaigns with all their evidence, gathered on the driver; ``write_reports`` is the one for large logs."""
+    every = lambda rows: [json.loads(r.value) for r in rows.toLocalIterator()]
+    order = F.regexp_extract("campaign_id", r"(\d+)$", 1).try_cast("long")
+    return json_report({**shown, "actors": every(actor_documents(a.actors.orderBy(F.desc("threat_score"), "actor_ord"))), "campaigns": every(campaign_documents(a.campaigns.orderBy(order)))})
+
+
+def generate_reports(a: Analysis, formats=("html", "json", "text")) -> dict[str, str]:
     """Reports by format. A format that fails is logged and left out."""
-    shown, out = _shown(a, campaigns), {}
+    shown, out = _shown(a), {}
     for f in formats:
         try:
-            out[f] = RENDERERS[f](shown)
+            out[f] = whole_json(a, shown) if f == "json" else RENDERERS[f](shown)
         except Exception:  # noqa: BLE001
             log.exception("report %s failed", f)
     return out
