@@ -61,3 +61,14 @@ def test_real_rows_and_empty_tables(spark):
     check(spark, docs[:3], [])
     check(spark, [], items)
     check(spark, ["z " * 30000 + items[0][1]], items)
+
+
+def test_items_without_an_id_hit(spark):
+    passage = " ".join(f"word{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"so {passage} then"), (2, "nothing of it")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, passage), ("b", passage)], "item_id string, text string")
+    hit, clean = sorted(decontaminate(docs, benchmark).collect())
+    assert (hit.n_hit, hit.n_items, hit.contaminated, clean.contaminated) == (12, 2, True, False)
+    assert hit.items_sha256 == hashlib.sha256(b"b").hexdigest()
+    alone = decontaminate(docs, benchmark.filter("item_id is null")).filter("doc_id = 1").first()
+    assert (alone.n_hit, alone.n_items, alone.items_sha256) == (12, 1, hashlib.sha256(b"").hexdigest())

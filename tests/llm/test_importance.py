@@ -55,3 +55,12 @@ def test_noise_is_gumbel_and_repeated_rows_are_drawn_together(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     out = resample(d, labels, share=0.4).collect()
     assert len(out) == 60 and sum(r.kept for r in out) >= 24
+
+
+def test_ids_of_text_and_ties_with_null_ids(spark):
+    d = spark.createDataFrame([(f"id-{i}", f"text of {i}") for i in range(8)], "doc_id string, text string")
+    labels = spark.createDataFrame([("id-1", 1, 0), ("id-2", 0, 0)], "doc_id string, quality int, toxic int")
+    assert sum(r.kept for r in resample(d, labels, share=0.5).collect()) == 4
+    same = spark.createDataFrame([(None, ""), (None, "")] + [(3, "")] * 3, "doc_id long, text string")
+    out = resample(same, labels.limit(0), share=0.4).collect()
+    assert len(out) == 5 and sum(r.kept for r in out) in (2, 3, 5)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import public_tokenizers
 
+from wardline.llm import language_id as language_id_module
 from wardline.llm.language_id import SPACE, UNKNOWN, Lattice, language_id
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +27,18 @@ def test_forward_sums_all_segmentations():
         want = sum(math.prod(p[pieces.index(x)] if x in pieces else UNKNOWN for x in s) for s in segmentations(word, pieces))
         assert math.isclose(lattice.log_probability(word, [[*p, UNKNOWN]])[0], math.log(want), rel_tol=1e-9)
     assert math.isfinite(lattice.log_probability("ab" * 5000, [[*p, UNKNOWN]])[0])
+    for word in ("ab" * 60 + "xa" * 9, "abba" * 11):  # whole words of any length, with no border between parts
+        alpha = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            alpha[end] = sum(alpha[at] * (p[pieces.index(word[at:end])] if word[at:end] in pieces else UNKNOWN * (end - at == 1)) for at in range(max(0, end - 4), end))
+        assert math.isclose(lattice.log_probability(word, [[*p, UNKNOWN]])[0], math.log(alpha[-1]), rel_tol=1e-9)
+
+
+def test_long_words_are_trained_on_alike(monkeypatch):
+    lattice, words = Lattice(sorted({"a", "b", "ab", "ba"})), Counter({"abab" * 9: 3, "abxba": 2})
+    plain = lattice.train(words, 3)
+    monkeypatch.setattr(language_id_module, "REACH", 3)
+    assert abs(plain - lattice.train(words, 3)).max() < 1e-9
 
 
 def test_training_raises_likelihood():

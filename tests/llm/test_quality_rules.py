@@ -47,7 +47,10 @@ def test_bound_is_exact():
     assert not passes(0, 100, 0.01, 0.05) and passes(0, 299, 0.01, 0.05) and not passes(1, 299, 0.01, 0.05)
     counts = np.zeros((4, 41), int)
     counts[:, 0], counts[:, 3] = 2000, 1
-    assert choose_cutoffs({"en": counts}, 0.02, 0.05)["en"] == [1] * 4 or all(c is not None for c in choose_cutoffs({"en": counts}, 0.02, 0.05)["en"])
+    assert choose_cutoffs({"en": counts}, 0.02, 0.05)["en"] == [1] * 4
+    counts[:, 3] = 40
+    assert choose_cutoffs({"en": counts}, 0.02, 0.05)["en"] == [4] * 4  # 40 of 2,040 are too many to lose
+    assert choose_cutoffs({"en": counts // 4, "de": counts}, 0.02, 0.05) == {"en": [None] * 4, "de": [4] * 4}
 
 
 def test_certified_cutoffs_reject_junk_and_keep_clean(spark):
@@ -58,3 +61,21 @@ def test_certified_cutoffs_reject_junk_and_keep_clean(spark):
     kept = {r.doc_id for r in quality_rules(d, labels).filter("kept").collect()}
     assert kept == set(range(3000))
     assert {r.doc_id for r in keep_quality(d, labels).collect()} == kept
+
+
+def test_repeats_are_no_trials_and_toxic_ones_are_not_good(spark):
+    clean = "some plain words that make a clean line of text here {}"
+    junk = " ".join(f"#$%&<{k}" for k in range(30))
+    rows = [(i % 300, clean.format(i % 300), "en", "s", 1) for i in range(3000)] + [(5000, junk, "en", "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    labels = d.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") == 5000).cast("int").alias("toxic"))
+    assert quality_rules(d, labels).filter("doc_id = 5000").first().kept  # 300 good documents certify nothing, though 3,000 rows would
+    enough = spark.createDataFrame([(i, clean.format(i), "en", "s", 1) for i in range(3000)] + rows[-1:], d.schema)
+    told = enough.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") == 5000).cast("int").alias("toxic"))
+    assert not quality_rules(enough, told).filter("doc_id = 5000").first().kept
+
+
+def test_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "en", 1, "x", 2)], "doc_id long, text string, lang string, `__id` int, `a.b` string, n_words int")
+    out = keep_quality(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert out.columns == d.columns and out.collect() == d.collect()

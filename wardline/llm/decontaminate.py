@@ -43,7 +43,7 @@ class Block:
             hashes.append(w.hash)
             counts.append(w.counts)
         h, counts = np.concatenate(hashes), np.concatenate(counts)
-        classes: dict[bytes, list[str]] = {}
+        classes: dict[bytes, list[str | None]] = {}
         for (name, _), end, n in zip(items, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
             if n:
                 classes.setdefault(h[end - n : end].tobytes(), []).append(name)
@@ -160,9 +160,10 @@ def judge(text: pa.Array, blocks: list) -> list[pa.Array]:
     docs = len(text)
     counts, found = np.zeros(docs, np.int64), [[np.zeros(0, np.int64)] * 3]
     items: dict[int, list[str]] = {}
+    words = list(words_of(text, ALNUM, LOWER)) if len(blocks) > 1 else words_of(text, ALNUM, LOWER)  # read once, however many blocks
     for b in blocks:
         block, parts = b.value, []
-        for i, j, w in words_of(text, ALNUM, LOWER):
+        for i, j, w in words:
             counts[i:j] = w.counts
             at, rows = candidates(w, block)
             parts.append((at + counts[:i].sum(), rows))
@@ -186,9 +187,9 @@ def judge(text: pa.Array, blocks: list) -> list[pa.Array]:
     best = np.lexsort((start, -length, doc))
     head = best[np.unique(doc[best], return_index=True)[1]]
     longest[doc[head]], where[doc[head]] = length[head], start[head] - first[doc[head]] if docs else 0
-    names = [sorted(items.get(d, ())) for d in range(docs)]
+    names = [sorted(x for x in items.get(d, ()) if x is not None) for d in range(docs)]
     sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-    return [pa.array(x, t) for x, (_, t) in zip((counts, n_hit, [len(x) for x in names], sums, n_hit > 0, longest, where), OUT, strict=True)]
+    return [pa.array(x, t) for x, (_, t) in zip((counts, n_hit, [len(items.get(d, ())) for d in range(docs)], sums, n_hit > 0, longest, where), OUT, strict=True)]
 
 
 class Held:
@@ -209,7 +210,7 @@ class Held:
 def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
     """The benchmark as broadcast blocks of bounded size, dealt by a running count of its words."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null and item is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
     out, now, size = [], [], 0
     for r in items.toLocalIterator():  # a block at a time is held by the driver
         now.append((r.item, r.text))

@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +46,12 @@ def ngram_buckets(w) -> tuple[np.ndarray, np.ndarray]:
 def _counts(rows: DataFrame, target: DataFrame, store: Store) -> np.ndarray:
     """Counts by bucket, of all rows (doc_id, text) and of those with an id in ``target`` (a bounded table)."""
     spark = rows.sparkSession
-    ids = spark.sparkContext.broadcast(np.sort(np.array([r["doc_id"] for r in target.toLocalIterator()], np.int64)))
+    ids = spark.sparkContext.broadcast([r["doc_id"] for r in target.toLocalIterator()])
 
     def count(batches):
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            own = np.isin(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), ids.value) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            own = pc.is_in(b.column(0), pa.array(ids.value, pa.string())).to_numpy(zero_copy_only=False)
             for i, j, w in words_of(b.column(1), PLAIN, LOWER):
                 doc, bucket = ngram_buckets(w)
                 total[0] += np.bincount(bucket, minlength=BUCKETS)
@@ -124,11 +125,11 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     """
     store = Store(docs.sparkSession, "importance")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    told = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    told = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("string").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     n, good = told.agg(F.count("*"), F.count_if("good")).first()
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     target = told.filter(F.col("good") & (hashed * good < size)).select("doc_id").distinct()
-    ratios = log_ratios(_counts(rows.withColumn("doc_id", F.col("doc_id").cast("long")), target, store))
+    ratios = log_ratios(_counts(rows.withColumn("doc_id", F.col("doc_id").cast("string")), target, store))
     weighed = store.put(_weights(rows, ratios).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "weights")
     total = weighed.count()
     k = math.ceil(total * (share if share is not None else good / n if n else 1))
@@ -136,7 +137,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
         return weighed.withColumn("kept", F.lit(k > 0))
     value, ties = kth_largest(weighed, k)
     tied = weighed.filter(F.col("key") == value)
-    last = tied.orderBy("doc_id").limit(ties).agg(F.max("doc_id")).first()[0] if tied.count() > ties else None
-    kept = F.col("key") > value
-    kept = kept | (F.col("key") == value) if last is None else kept | ((F.col("key") == value) & (F.col("doc_id") <= last))
+    kept, fits = F.col("key") > value, F.col("key") == value
+    if tied.count() > ties:  # null ids first; rows of one id alike
+        last = tied.orderBy("doc_id").limit(ties).agg(F.max("doc_id")).first()[0]
+        fits = fits & (F.col("doc_id").isNull() if last is None else F.col("doc_id").isNull() | (F.col("doc_id") <= last))
+    kept = kept | fits
     return weighed.withColumn("kept", F.coalesce(kept, F.lit(False)))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from wardline.llm.text_arrays import utf8
 from wardline.llm.units import Tokeniser
 
+#: Labelled documents of a language that the model is fitted on at most (about), rounds of training, and distinct words of these documents, the most common first, equal ones by name.
 SAMPLE, ROUNDS, TYPES = 400, 3, 12_000
 SPACE = "▁"
 #: Probability of a character that no piece covers, and the weight that every piece has before training.
 UNKNOWN, PRIOR = 1e-7, 0.02
-REACH = 40
+#: Characters between two rescalings of the sums, and up to which a word is trained on without logarithms, and kept in a worker's table.
+STRIDE, REACH, KEPT = 16, 40, 256
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,43 +53,57 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.pieces, self.index = pieces, {p: i for i, p in enumerate(pieces)}
         self.starts = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        self.longest = max(map(len, pieces), default=1)
 
-    def arcs(self, word: str) -> list[tuple[int, int, int]]:
-        """(begin, end, piece) of all pieces in the word; piece -1 is a character without any piece of its own."""
-        out = []
+    def arcs(self, word: str) -> Iterator[tuple[int, int, int]]:
+        """(begin, end, piece) of all pieces in the word, by begin; piece -1 is a character without any piece of its own."""
         for begin in range(len(word)):
             if word[begin] not in self.index:
-                out.append((begin, begin + 1, -1))
+                yield begin, begin + 1, -1
             for end in range(begin + 1, len(word) + 1):
                 part = word[begin:end]
                 if part not in self.starts:
                     break
                 if (piece := self.index.get(part)) is not None:
-                    out.append((begin, end, piece))
-        return out
+                    yield begin, end, piece
 
     def log_probability(self, word: str, tables: list[list[float]]) -> list[float]:
-        """Log of the sum over all segmentations, for each language. tables: piece probabilities, with UNKNOWN at the end.
+        """Log of the sum over all segmentations of the whole word, for each language. tables: piece probabilities, with UNKNOWN at the end.
 
-        Words beyond ``REACH`` characters are scored part by part, so that the sums can't underflow and a run without
-        blanks stays linear.
+        The sums that are still open are rescaled every ``STRIDE`` characters, so that they can't underflow in words of any length.
         """
-        out = [0.0] * len(tables)
-        for at in range(0, len(word), REACH):
-            part = word[at : at + REACH]
-            arcs, n = self.arcs(part), len(part)
-            for k, p in enumerate(tables):
-                alpha = [0.0] * (n + 1)
-                alpha[0] = 1.0
-                for begin, end, piece in arcs:  # in order of their begin: a prefix is complete before it is used
-                    alpha[end] += alpha[begin] * p[piece]
-                out[k] += math.log(alpha[n]) if alpha[n] > 0 else -700.0
-        return out
+        n, due = len(word), STRIDE
+        alphas, out = [[1.0] + [0.0] * n for _ in tables], [0.0] * len(tables)
+        for begin, end, piece in self.arcs(word):  # in order of their begin: a prefix is complete before it is used
+            if begin >= due:
+                due = begin + STRIDE
+                for k, alpha in enumerate(alphas):
+                    top = max(alpha[begin : begin + self.longest])
+                    alpha[begin : begin + self.longest] = [x / top for x in alpha[begin : begin + self.longest]]
+                    out[k] += math.log(top)
+            for alpha, p in zip(alphas, tables, strict=True):
+                alpha[end] += alpha[begin] * p[piece]
+        return [x + math.log(alpha[n]) for x, alpha in zip(out, alphas, strict=True)]
+
+    def _expect_long(self, word: str, c: int, probability: list[float], expected: np.ndarray) -> None:
+        """Adds a long word's expected pieces, by logarithms."""
+        n, arcs = len(word), list(self.arcs(word))
+        logs = [math.log(probability[piece] if piece >= 0 else UNKNOWN) for _, _, piece in arcs]
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0.0
+        for (begin, end, _), p in zip(arcs, logs, strict=True):
+            alpha[end] = np.logaddexp(alpha[end], alpha[begin] + p)
+        for (begin, end, _), p in zip(reversed(arcs), reversed(logs), strict=True):
+            beta[begin] = np.logaddexp(beta[begin], beta[end] + p)
+        for (begin, end, piece), p in zip(arcs, logs, strict=True):
+            if piece >= 0:
+                expected[piece] += c * math.exp(alpha[begin] + p + beta[end] - alpha[n])
 
     def train(self, words: Counter, rounds: int = ROUNDS) -> np.ndarray:
         """Piece probabilities of one language, by expectation-maximisation."""
         p = np.full(len(self.pieces), 1 / len(self.pieces))
-        lattices = [(len(w), self.arcs(w), c) for w, c in words.items() if len(w) <= REACH]
+        lattices = [(len(w), list(self.arcs(w)), c) for w, c in words.items() if len(w) <= REACH]
+        long = [(w, c) for w, c in words.items() if len(w) > REACH]
         for _ in range(rounds):
             expected = np.full(len(p), PRIOR)
             probability = p.tolist()
@@ -102,6 +119,8 @@ class Lattice:
                 for begin, end, piece in arcs:
                     if piece >= 0:
                         expected[piece] += c * alpha[begin] * probability[piece] * beta[end] / alpha[n]
+            for w, c in long:
+                self._expect_long(w, c, probability, expected)
             p = expected / expected.sum()
         return p
 
@@ -133,7 +152,7 @@ class Model:
             words.setdefault(r["lang"], Counter()).update(words_of(r["text"]))
         self.langs = sorted(x for x in words if words[x])
         lattice = Lattice(vocabulary(path))
-        self.p = np.stack([lattice.train(Counter(dict(words[x].most_common(TYPES)))) for x in self.langs]) if self.langs else np.zeros((0, len(lattice.pieces)))
+        self.p = np.stack([lattice.train(Counter(dict(sorted(words[x].items(), key=lambda i: (-i[1], i[0]))[:TYPES]))) for x in self.langs]) if self.langs else np.zeros((0, len(lattice.pieces)))
         total = sum(shares[x] for x in self.langs)
         self.prior = np.log([shares[x] / total for x in self.langs]) if self.langs else np.zeros(0)
 
@@ -155,7 +174,9 @@ class Scorer:
                 if (known := self.words.get(w)) is None:
                     if len(self.words) > 300_000:
                         self.words.clear()
-                    known = self.words[w] = self.lattice.log_probability(w, self.tables)
+                    known = self.lattice.log_probability(w, self.tables)
+                    if len(w) <= KEPT:
+                        self.words[w] = known
                 total = [a + b for a, b in zip(total, known, strict=True)]
             out.append(total)
         return out

@@ -18,9 +18,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.llm.store import Store
 from wardline.llm.text_arrays import byte_class, unique_per_doc, words_of
@@ -94,8 +94,7 @@ def _measure(batches):
 def measure(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The columns ``keep`` and the measures of every row."""
     rows = docs.select(*(F.col(k) for k in keep), F.col(text).cast("string").alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_measure, fields + MEASURES)
+    return rows.mapInArrow(_measure, T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(MEASURES).fields]))
 
 
 def base_failed() -> Column:
@@ -136,17 +135,19 @@ def choose_cutoffs(counts: dict[str, np.ndarray], alpha: float, delta: float) ->
     return out
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, stratum: str = "__stratum", alpha: float = 0.02, delta: float = 0.05) -> dict[str, list[int | None]]:
-    """Cutoffs from all labelled documents (``labels``: doc_id, quality 0/1, toxic 0/1).
+def calibrate(measured: DataFrame, labels: DataFrame, store: Store, stratum: str = "__stratum", alpha: float = 0.02, delta: float = 0.05) -> dict[str, list[int | None]]:
+    """Cutoffs from all labelled documents (``labels``: doc_id, quality 0/1, toxic 0/1; good ones are of quality and not toxic).
 
-    Only counts by stratum, rule and step reach the driver; strata that have too few good labels to certify even a cutoff
-    that rejects none of them are left out before.
+    A document counts once, however often it or its label is repeated: repeats are no trials of their own. The bound is on the
+    good documents that pass the base rule. Only counts by stratum, rule and step reach the driver; strata that have too
+    few good labels to certify even a cutoff that rejects none of them are left out before.
     """
     rules = len(RULES)
     least = math.log(delta) / math.log1p(-alpha / rules)
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
-    steps = measured.filter(~base_failed()).select(F.col(stratum).alias("s"), "__id", F.posexplode(_steps()).alias("rule", "step"))
-    seen = steps.join(good, "__id", "left_semi").filter("s is not null").groupBy("s", "rule", "step").count()
+    good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("__id")).distinct()
+    mine = measured.filter(~base_failed()).filter(F.col(stratum).isNotNull()).join(good, "__id", "left_semi").select("__id", F.col(stratum).alias("s"), _steps().alias("steps"))
+    steps = mine.dropDuplicates(["__id"]).select("s", F.posexplode("steps").alias("rule", "step"))
+    seen = store.put(steps.groupBy("s", "rule", "step").count(), "seen")
     enough = seen.groupBy("s", "rule").agg(F.sum("count").alias("n")).filter(F.col("n") >= least).select("s").distinct()
     counts: dict[str, np.ndarray] = {}
     for r in seen.join(enough, "s", "left_semi").collect():
@@ -169,7 +170,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     store = Store(docs.sparkSession, "quality")
     rows = docs.select(F.col("doc_id").alias("__id"), F.col(stratum).cast("string").alias("__stratum"), F.col("text").alias("__body"))
     seen = store.put(measure(rows, "__id", "__stratum", text="__body"), "measures")
-    cutoffs = calibrate(seen, labels, alpha=alpha, delta=delta)
+    cutoffs = calibrate(seen, labels, store, alpha=alpha, delta=delta)
     kept = verdict(cutoffs, F.col("__stratum"))
     return seen.select(F.col("__id").alias("doc_id"), *(F.col(c) for c in _NAMES[:5]), base_failed().alias("base_failed"), kept.alias("kept"), "n_shouts")
 
@@ -177,22 +178,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
 def keep_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     rows = docs.select(F.col("doc_id").alias("__id"), F.col(stratum).cast("string").alias("__stratum"), F.col("text").alias("__body"))
-    seen = Store(docs.sparkSession, "quality").put(measure(rows, "__id", "__stratum", text="__body"), "measures")
-    cutoffs = calibrate(seen, labels, alpha=alpha, delta=delta)
-    at, by, schema = docs.columns.index("text"), docs.columns.index(stratum), docs.schema
-
-    def fits(batches):
-        widths = np.array(list(RULES.values()))
-        for b in batches:
-            words, chars, symbols, lines, repeats, shouts = measure_column(b.column(at))
-            per_char, per_word = np.maximum(chars, 1), np.maximum(words, 1)
-            steps = np.stack([symbols / per_char, shouts / per_word, repeats / per_word, lines / per_word])
-            steps = np.minimum(np.floor(steps / widths[:, None]), STEPS)
-            limits = np.full((len(RULES), len(words)), STEPS + 1.0)
-            for s, c in cutoffs.items():
-                mine = np.array(pc.fill_null(pc.equal(b.column(by).cast(pa.string()), s), False))
-                limits[:, mine] = np.array([STEPS + 1 if v is None else v for v in c])[:, None]
-            ok = (words >= MIN_WORDS) & (100 * repeats <= REPEAT_PERCENT * words) & (steps < limits).all(axis=0)
-            yield b.filter(pa.array(ok))
-
-    return docs.mapInArrow(fits, schema)
+    store = Store(docs.sparkSession, "quality")
+    seen = store.put(measure(rows, "__id", "__stratum", text="__body"), "measures")
+    kept = verdict(calibrate(seen, labels, store, alpha=alpha, delta=delta), F.col("__stratum"))
+    store.keep()
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"), F.col(stratum).cast("string").alias("__stratum"), F.col("text").alias("__body"))
+    return measure(packed, "__row", "__stratum", text="__body").filter(kept).select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))

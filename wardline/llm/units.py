@@ -19,20 +19,25 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 _U = np.uint64
 
 
+#: Values of a table (32 MB) beyond which it is emptied before the next slice: long units, as texts without blanks are, fill it soon.
+MOST_VALUES = 1 << 23
+
+
 class Table:
     """From 64-bit hashes to rows, by open addressing; row r has values[first[r] : first[r + 1]]."""
 
     def __init__(self, bits: int = 21, dtype=np.uint32):
-        self.bits, self.dtype = bits, dtype
+        self.least_bits, self.dtype = bits, dtype
         self.clear()
 
     def clear(self) -> None:
+        self.bits = self.least_bits
         self.keys, self.rows, self.n = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 0
         self.first, self.values, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, self.dtype), 0
 
     @property
     def full(self) -> bool:
-        return self.n > (1 << self.bits) // 2
+        return self.n > (1 << self.bits) // 2 or self.size > MOST_VALUES
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 if it isn't there."""
