@@ -33,14 +33,14 @@ def only(rows: DataFrame, column: str, pairs: DataFrame, store: Store) -> DataFr
 
 def link_components(
     signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store,
-    per_node: int | None = None, near: Callable[[str, str], Column] | None = None, few: int = FEW,
+    per_node: int | None = None, near: Callable[[str, str], Column] | None = None, few: int = FEW, least_rounds: int = 0,
 ) -> DataFrame | None:
     """(node, root) for all nodes with a link, or None without any link.
 
     signed: (node, sig, count), with the nodes of each signature. likely: keeps the pairs (a, b) that can be links, by what is
     cheap to see. judge: pairs (a, b) to (a, b, linked), written. near: condition over further columns of ``signed``, with the
     endings _a and _b, that every link meets; pairs that don't are never made. Signatures of ``few`` nodes at most give all their
-    pairs; the others are held against leaders, one round at least, until what is open is at most ``per_node`` pairs a node, counted by signature.
+    pairs; the others are held against leaders, ``least_rounds`` at least, until what is open is at most ``per_node`` pairs a node, counted by signature.
     """
     further = [c for c in signed.columns if c not in ("node", "sig", "count")]
     held = lambda df, side: df.withColumnsRenamed({c: f"{c}{side}" for c in ("node", "root", *further)})
@@ -71,7 +71,7 @@ def link_components(
         left = open_sigs.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
         if not left and first is None:
             break
-        last = rounds > 0 and ((left or 0) <= most or rounds >= LEADER_ROUNDS)
+        last = rounds >= least_rounds and ((left or 0) <= most or rounds >= LEADER_ROUNDS)
         if last:  # all that is open, but for pairs within the largest component of a signature
             against = rows.join(open_sigs.select("sig", "top"), "sig").filter("root <> top").drop("top")
         else:
@@ -91,7 +91,7 @@ def link_components(
         if pairs.isEmpty():
             if last:
                 break
-            rounds = LEADER_ROUNDS
+            rounds = max(LEADER_ROUNDS, least_rounds)
             continue
         judged = judge(pairs)
         done = judged if done is None else done.unionByName(judged)
