@@ -33,7 +33,7 @@ def only(rows: DataFrame, column: str, pairs: DataFrame, store: Store) -> DataFr
 
 def link_components(
     signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store,
-    per_node: int | None = None, near: Callable[[str, str], Column] | None = None, few: int = FEW, least_rounds: int = 0,
+    per_node: int | None = None, near: Callable[[str, str], Column] | None = None, few: int = FEW, least_rounds: int = 0, band: Column | None = None,
 ) -> DataFrame | None:
     """(node, root) for all nodes with a link, or None without any link.
 
@@ -42,11 +42,15 @@ def link_components(
     endings _a and _b, that every link meets; pairs that don't are never made. Signatures of ``few`` nodes at most give all their
     pairs; the others are held against leaders, ``least_rounds`` at least, until what is open is at most ``per_node`` pairs a node, counted by signature.
     """
+    # band: a whole number of further columns in which linked nodes differ by one at most; only neighbouring bands meet at the end.
     further = [c for c in signed.columns if c not in ("node", "sig", "count")]
     held = lambda df, side: df.withColumnsRenamed({c: f"{c}{side}" for c in ("node", "root", *further)})
 
-    def met(rows: DataFrame, against: DataFrame, apart) -> DataFrame:
-        pairs = held(rows, "_b").join(held(against, "_a"), "sig").filter(apart)
+    def met(rows: DataFrame, against: DataFrame, apart, on: tuple = ("sig",)) -> DataFrame:
+        if len(on) > 1:
+            rows = rows.withColumn("band", band)
+            against = against.withColumn("band", F.explode(F.array(*(band + k for k in (-1, 0, 1)))))
+        pairs = held(rows, "_b").join(held(against, "_a"), [*on]).filter(apart)
         pairs = pairs.filter(near("_a", "_b")) if near else pairs
         return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.col("node_b").alias("who"))
 
@@ -78,7 +82,7 @@ def link_components(
             key = int(mix(np.full(1, rounds + 7, np.uint64)).view(np.int64)[0])
             chosen = rows.groupBy("sig").agg(F.min(F.col("node").bitwiseXOR(F.lit(key))).alias("x"))
             against = rows.join(chosen, "sig").filter(F.col("node").bitwiseXOR(F.lit(key)) == F.col("x")).drop("x")
-        pairs = met(rows, against, F.col("root_a") != F.col("root_b"))
+        pairs = met(rows, against, F.col("root_a") != F.col("root_b"), ("sig", "band") if last and band is not None else ("sig",))
         pairs = likely(pairs.select("a", "b").distinct() if last else pairs.groupBy("a", "b", "who").count())
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
