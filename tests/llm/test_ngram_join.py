@@ -69,6 +69,8 @@ def test_components_equal_brute_force(spark, monkeypatch, n, percent, frequent):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "VERY_FREQUENT", frequent * 4)
     monkeypatch.setattr(ngram_join, "PAIRS_PER_NODE", 0 if frequent < 64 else 20)
+    monkeypatch.setattr(ngram_join, "LONG", 3 if frequent < 64 else 100)
+    monkeypatch.setattr(ngram_join, "THIN", 3)
     check(spark, made(random.Random(n * percent + frequent)), n, percent)
 
 

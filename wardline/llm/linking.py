@@ -19,6 +19,8 @@ from wardline.llm.text_arrays import mix
 
 #: Leader rounds go on while more than this many pairs a node are open.
 PAIRS_PER_NODE, LEADER_ROUNDS = 100, 8
+#: So many first leader rounds see one signature in ``thin`` only. They merge what is nearly equal; the last round sees all signatures.
+THIN_ROUNDS = 2
 #: Nodes of a signature up to which all its pairs are made at once: work in proportion to the rows.
 FEW = 16
 #: Ids up to which a set of nodes is sent to all tasks (8 MB); larger ones are joined by a shuffle.
@@ -34,6 +36,7 @@ def only(rows: DataFrame, column: str, pairs: DataFrame, store: Store) -> DataFr
 def link_components(
     signed: DataFrame, total: int, likely: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], store: Store,
     per_node: int | None = None, near: Callable[[str, str], Column] | None = None, few: int = FEW, least_rounds: int = 0, band: Column | None = None,
+    thin: int = 1,
 ) -> DataFrame | None:
     """(node, root) for all nodes with a link, or None without any link.
 
@@ -41,6 +44,7 @@ def link_components(
     cheap to see. judge: pairs (a, b) to (a, b, linked), written. near: condition over further columns of ``signed``, with the
     endings _a and _b, that every link meets; pairs that don't are never made. Signatures of ``few`` nodes at most give all their
     pairs; the others are held against leaders, ``least_rounds`` at least, until what is open is at most ``per_node`` pairs a node, counted by signature.
+    thin: the first leader rounds see one signature in so many, for nodes with many of them; no link depends on these rounds.
     """
     # band: a whole number of further columns in which linked nodes differ by one at most; only neighbouring bands meet at the end.
     further = [c for c in signed.columns if c not in ("node", "sig", "count")]
@@ -68,10 +72,11 @@ def link_components(
         else:
             of = roots.select("node", F.col("root").alias("r"))
             rows = rows.drop("root").join(of, "node", "left").select("node", "sig", *further, F.coalesce("r", "node").alias("root"))
+            mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
+            rows = store.put(rows.join(mixed, "sig", "left_semi"), "open-rows", instead=True)
             per = rows.groupBy("sig", "root").count()
-            open_sigs = per.groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"), F.max_by("root", "count").alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+            open_sigs = per.groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"), F.max_by("root", "count").alias("top"))
             open_sigs = store.put(open_sigs, "open", instead=True)
-            rows = store.put(rows.join(open_sigs.select("sig"), "sig", "left_semi"), "open-rows", instead=True)
         left = open_sigs.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
         if not left and first is None:
             break
@@ -80,9 +85,11 @@ def link_components(
             against = rows.join(open_sigs.select("sig", "top"), "sig").filter("root <> top").drop("top")
         else:
             key = int(mix(np.full(1, rounds + 7, np.uint64)).view(np.int64)[0])
-            chosen = rows.groupBy("sig").agg(F.min(F.col("node").bitwiseXOR(F.lit(key))).alias("x"))
-            against = rows.join(chosen, "sig").filter(F.col("node").bitwiseXOR(F.lit(key)) == F.col("x")).drop("x")
-        pairs = met(rows, against, F.col("root_a") != F.col("root_b"), ("sig", "band") if last and band is not None else ("sig",))
+            thinned = rounds < THIN_ROUNDS and thin > 1
+            seen = rows.filter(F.pmod("sig", F.lit(thin)) == 0) if thinned else rows
+            chosen = seen.groupBy("sig").agg(F.min(F.col("node").bitwiseXOR(F.lit(key))).alias("x"))
+            against = seen.join(chosen, "sig").filter(F.col("node").bitwiseXOR(F.lit(key)) == F.col("x")).drop("x")
+        pairs = met(rows if last else seen, against, F.col("root_a") != F.col("root_b"), ("sig", "band") if last and band is not None else ("sig",))
         pairs = likely(pairs.select("a", "b").distinct() if last else pairs.groupBy("a", "b", "who").count())
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
@@ -95,7 +102,7 @@ def link_components(
         if pairs.isEmpty():
             if last:
                 break
-            rounds = max(LEADER_ROUNDS, least_rounds)
+            rounds = THIN_ROUNDS if thinned else max(LEADER_ROUNDS, least_rounds)
             continue
         judged = judge(pairs)
         done = judged if done is None else done.unionByName(judged)

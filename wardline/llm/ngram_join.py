@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,12 @@ PAIRS_PER_NODE = 100
 _U = np.uint64
 PARITIES = 1024
 _BINS = [f"p{k}" for k in range(PARITIES // 64)]
+#: The parities folded to a quarter, which rule most pairs out before the whole ones are joined.
+_FOLDS = [f"q{k}" for k in range(PARITIES // 256)]
+#: Pairs of sets of so many tokens each are held against each other by wider parities before their texts are joined.
+LONG = 1500
+#: The first leader rounds see one signature in so many.
+THIN = 16
 
 
 def sets_of(text: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -216,6 +222,38 @@ def _read_again(docs: DataFrame, nodes: DataFrame, n: int, percent: int, salt: i
     return again.join(nodes.select("f1"), "f1", "left_semi").dropDuplicates(["f1"])
 
 
+def _sketches(texts: DataFrame, n: int) -> DataFrame:
+    """(f1, n, odd): size and parities of each set in at least two bins a token, a power of two of them."""
+    def batches(it):
+        for b in it:
+            for i, j, doc, h in sets_of(b.column(1), n):
+                size = np.bincount(doc, minlength=j - i)
+                ends, out = np.cumsum(size), []
+                for k in range(j - i):
+                    bits = max(3, int(2 * size[k] - 1).bit_length())  # whole bytes
+                    at = (h[ends[k] - size[k] : ends[k]] >> _U(64 - bits)).astype(np.int64)
+                    out.append(np.packbits((np.bincount(at, minlength=1 << bits) & 1).astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size), pa.array(out, pa.binary())], ["f1", "n", "odd"])
+
+    return texts.select("f1", "text").mapInArrow(batches, "f1 long, n long, odd binary")
+
+
+def _apart(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` (.., na, sa, nb, sb) that sizes and ``_sketches`` rule out. Two neighbouring bins in one give the parities in half as many bins."""
+    def batches(it):
+        for batch in it:
+            rows = batch.to_pydict()
+            out = []
+            for x, y, total in zip(rows["sa"], rows["sb"], np.add(rows["na"], rows["nb"]).tolist(), strict=True):
+                odd = [np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y)]
+                least = min(map(len, odd))
+                odd = [v.reshape(least, -1).sum(1) & 1 for v in odd]
+                out.append(int((odd[0] != odd[1]).sum()) > total - 2 * -(-percent * total // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(out, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(batches, "a long, b long")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b, linked) of each pair (a, b) by its whole sets."""
     rows = pairs.join(texts.select(F.col("f1").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("f1").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
@@ -273,22 +311,24 @@ def _signatures(docs: DataFrame, nodes: DataFrame, store: Store, n: int, percent
                 for f1, sigs in resign(b.column(1), *held.value, n, percent, salt, wide):
                     yield pa.RecordBatch.from_arrays([pa.array(f1), sigs], ["f1", "sigs"])
 
-        return texts.select("f1", "text").mapInArrow(batches, "f1 long, sigs array<long>").select("f1", F.explode("sigs").alias("sig"))
+        return texts.select("f1", "text").mapInArrow(batches, "f1 long, sigs array<long>")
 
     hot = frequent(store.put(plain.groupBy("sig").count().filter(F.col("count") > FREQUENT), "counts"))
     if hot.isEmpty():
         return plain
     touched = store.put(plain.join(hot.select("sig"), "sig", "left_semi").select("f1").distinct().join(nodes, "f1"), "touched")
-    texts = store.put(_read_again(docs, touched, n, percent, salt), "touched-texts")
-    more = sign(texts, hot, True).groupBy("sig").count().filter(F.col("count") > FREQUENT)
+    texts = store.put(_read_again(docs, touched, n, percent, salt), "touched-texts", tight=True)
+    more = sign(texts, hot, True).select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter(F.col("count") > FREQUENT)
     more = frequent(store.put(more.join(hot.select("sig"), "sig", "left_anti"), "counts-again"))
     if not more.isEmpty():
         hot = hot.unionByName(more)
         also = store.put(plain.join(more.select("sig"), "sig", "left_semi").select("f1").distinct().join(touched.select("f1"), "f1", "left_anti").join(nodes, "f1"), "also")
-        texts = texts.unionByName(store.put(_read_again(docs, also, n, percent, salt), "also-texts"))
+        texts = texts.unionByName(store.put(_read_again(docs, also, n, percent, salt), "also-texts", tight=True))
         touched = touched.unionByName(also)
-    rest = first.join(touched.select("f1"), "f1", "left_anti").select("f1", F.explode("sigs").alias("sig"))
-    return rest.unionByName(sign(texts, hot, False))
+    rest = first.join(touched.select("f1"), "f1", "left_anti").select("f1", "sigs")
+    found = store.put(rest.unionByName(sign(texts, hot, False)), "signatures")  # read twice, so that texts are signed once
+    store.drop("first", "touched-texts", "also-texts")
+    return found.select("f1", F.explode("sigs").alias("sig"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -319,27 +359,45 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
 
     sigs = _signatures(rows, nodes, store, n, percent, salt, first)
     shared = sigs.groupBy("sig").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.count("*").alias("count")).filter("lo <> hi").select("sig", "count")
-    signed = store.put(sigs.join(shared, "sig").distinct(), "signed")
-    for name in ("first", "touched-texts", "also-texts"):
-        store.drop(name)
+    signed = store.put(sigs.join(shared, "sig").join(bins.select("f1", "n"), "f1"), "signed")
+    store.drop("first", "signatures")
+
+    folds = bins.select("f1", "n", *(reduce(Column.bitwiseXOR, (F.col(p) for p in _BINS[k :: len(_FOLDS)])).alias(q) for k, q in enumerate(_FOLDS)))
+
+    def sized(a: str, b: str) -> Column:
+        return F.greatest(f"n{a}", f"n{b}") * percent <= F.least(f"n{a}", f"n{b}") * 100
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """By size, and by the tokens in which the sets can differ at most."""
-        both = pairs
-        for side in ("a", "b"):
-            both = both.join(bins.select(F.col("f1").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *_BINS))), side)
-        total = F.col("n_a") + F.col("n_b")
-        most = total - 2 * F.ceil(percent * total / (100 + percent))
-        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _BINS))
-        return both.filter((F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100) & (apart <= most)).select(*pairs.columns)
+        """By the tokens in which the sets can differ at most: folded parities first, then whole ones."""
+        for table, words in ((folds, _FOLDS), (bins, _BINS)):
+            both = pairs
+            for side in ("a", "b"):
+                both = both.join(table.select(F.col("f1").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *words))), side)
+            total = F.col("n_a") + F.col("n_b")
+            most = total - 2 * F.ceil(percent * total / (100 + percent))
+            apart = reduce(Column.__add__, (F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in words))
+            pairs = both.filter(apart <= most).select(*pairs.columns)
+        return pairs
 
     def judge(pairs: DataFrame) -> DataFrame:
-        needed = store.put(nodes.join(pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct(), "f1").select("f1", "doc"), "needed")
-        judged = store.put(_verify(pairs, store.put(_read_again(rows, needed, n, percent, salt), "texts"), n, percent), "judged")
-        store.drop("texts", "needed")
+        ends = pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).distinct()
+        needed = store.put(nodes.join(ends, "f1").select("f1", "doc", "n"), "needed")
+        texts = store.put(_read_again(rows, needed, n, percent, salt), "texts", tight=True)
+        long = needed.filter(F.col("n") >= LONG).select("f1")
+        if not long.isEmpty():
+            wide = store.put(_sketches(texts.join(long, "f1", "left_semi"), n), "sketches")
+            told = pairs.join(long.withColumnRenamed("f1", "a"), "a", "left_semi").join(long.withColumnRenamed("f1", "b"), "b", "left_semi")
+            for side in ("a", "b"):
+                told = told.join(wide.select(F.col("f1").alias(side), F.col("n").alias(f"n{side}"), F.col("odd").alias(f"s{side}")), side)
+            apart = store.put(_apart(told, percent), "apart")
+            judged = _verify(pairs.join(apart, ["a", "b"], "left_anti"), texts, n, percent).unionByName(apart.withColumn("linked", F.lit(False)))
+        else:
+            judged = _verify(pairs, texts, n, percent)
+        judged = store.put(judged, "judged")
+        store.drop("texts", "needed", "sketches", "apart")
         return judged
 
-    roots = link_components(signed.withColumnRenamed("f1", "node"), nodes.count(), likely, judge, store, PAIRS_PER_NODE, few=0)
+    roots = link_components(signed.withColumnRenamed("f1", "node"), nodes.count(), likely, judge, store, PAIRS_PER_NODE, near=sized, few=0, thin=THIN)
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     named = nodes.join(roots, F.col("f1") == F.col("node"), "left").select("f1", "doc", F.coalesce("root", "f1").alias("root"))
