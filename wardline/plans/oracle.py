@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from wardline.functions.url import AGENT_PATTERN, EXTENSIONS, FLAG_PATTERNS, PROBED_PATHS
+from wardline.operators.intelligence import TAG_TECHNIQUES, TECHNIQUES
+from wardline.operators.meta import ALIASES
+from wardline.operators.recommend import ACTOR_RULES, CAMPAIGN_RULES, GLOBAL_RULES
 from wardline.operators.rules import ATTACKS, COMBINATIONS, PROFILES
 
 
@@ -201,6 +204,67 @@ def _all(*parts: str) -> str:
 
 
 _FULL = (FEATURES, METRICS, CADENCE, GRAPH, ANOMALY, LEADERS, TAGS, SCORES)
+
+#: With two samples a cluster is a component of the graph of points at most eps apart; single points are noise.
+DENSITY = """, grid AS (
+  SELECT a.source_ip, a.actor_ord, r.rank, coalesce(v.value, 0.0) AS x FROM actor_order a CROSS JOIN range(50) r(rank) LEFT JOIN vector_values v ON v.source_ip = a.source_ip AND v.rank = r.rank
+), spread AS (
+  SELECT rank, avg(x) AS mean, CASE WHEN stddev_pop(x) > 1e-15 THEN stddev_pop(x) ELSE 1.0 END AS std FROM grid GROUP BY rank
+), standard AS (
+  SELECT source_ip, rank, (x - mean) / std AS x FROM grid JOIN spread USING (rank)
+), close_by AS MATERIALIZED (
+  SELECT a.source_ip AS a, b.source_ip AS b FROM standard a JOIN standard b ON a.rank = b.rank GROUP BY 1, 2 HAVING sqrt(sum((a.x - b.x) * (a.x - b.x))) <= 0.5
+), reached(s, v) AS (
+  SELECT source_ip, source_ip FROM actor_order
+  UNION SELECT r.s, c.b FROM reached r JOIN close_by c ON c.a = r.v
+), components AS (
+  SELECT s AS source_ip, min(o.actor_ord) AS first, count(*) AS members FROM reached r JOIN actor_order o ON o.source_ip = r.v GROUP BY s
+), density AS (
+  SELECT source_ip, members, CASE WHEN members >= 2 THEN dense_rank() OVER (PARTITION BY members >= 2 ORDER BY first) - 1 ELSE -1 END AS cluster FROM components
+)"""
+
+CAMPAIGNS = DENSITY + """, finals AS (
+  SELECT s.source_ip, s.threat_score, d.cluster, list_sort(list_distinct(list_append(s.tags, CASE WHEN d.members >= 3 THEN 'COORDINATED_ATTACK' WHEN d.members = 2 THEN 'PAIRED_ATTACK' ELSE 'ISOLATED_ATTACKER' END))) AS tags
+  FROM scored s JOIN density d USING (source_ip)
+), campaign_tags AS (
+  SELECT cluster, tag, count(*) AS n FROM (SELECT cluster, unnest(tags) AS tag FROM finals WHERE cluster >= 0) GROUP BY 1, 2
+), campaigns AS (
+  SELECT 'campaign_' || f.cluster AS campaign_id, f.actors, f.threat_score, t.tags, t.campaign_type
+  FROM (SELECT cluster, count(*) AS actors, avg(threat_score) AS threat_score FROM finals WHERE cluster >= 0 GROUP BY cluster) f
+  JOIN (SELECT cluster, list(tag ORDER BY tag) AS tags, first(tag ORDER BY n DESC, tag) AS campaign_type FROM campaign_tags GROUP BY cluster) t USING (cluster)
+)"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(_q(x) if isinstance(x, str) else f"{x}" for x in r) + ")" for r in rows)
+
+
+_ALIASED = "list_concat(tags, list_filter([" + ", ".join(f"CASE WHEN {_has(t)} THEN {_q(a)} END" for t, a in ALIASES.items()) + "], lambda x: x IS NOT NULL))"
+MITRE = f""", techniques(technique_id, name, tactic) AS (
+  VALUES {_values(TECHNIQUES)}
+), technique_of(tag, technique_id) AS (
+  VALUES {_values((t, i) for t, ids in TAG_TECHNIQUES.items() for i in ids)}
+), mitre AS (
+  SELECT DISTINCT f.source_ip, t.* FROM (SELECT source_ip, unnest({_ALIASED}) AS tag FROM finals) f JOIN technique_of o USING (tag) JOIN techniques t USING (technique_id)
+)"""
+
+
+def _first_rule(rules) -> str:
+    return "CASE " + " ".join(f"WHEN list_has_all({_ALIASED}, [{', '.join(_q(t) for t in r[0])}]) THEN {k}" for k, r in enumerate(rules)) + " END"
+
+
+_texts = [(scope, k, r[1], r[2], r[3], ",".join(r[6]), r[7]) for scope, rules in (("actor", ACTOR_RULES), ("campaign", CAMPAIGN_RULES)) for k, r in enumerate(rules)]
+_texts += [("global", k, "HIGH", "IMMEDIATE_ACTION", r[2], ",".join(r[5]), r[6]) for k, r in enumerate(GLOBAL_RULES)]
+ADVICE = f""", texts(scope, rule, priority, category, title, mitre_techniques, confidence) AS (
+  VALUES {_values(_texts)}
+), ruled AS (
+  SELECT 'actor' AS scope, source_ip AS subject, {_first_rule(ACTOR_RULES)} AS rule FROM finals
+  UNION ALL SELECT 'campaign', campaign_id, {_first_rule(CAMPAIGN_RULES)} FROM campaigns
+  UNION ALL SELECT 'global', 'all', CASE WHEN count(*) FILTER (WHERE threat_score > 8) > 5 THEN 0 END FROM finals
+  UNION ALL SELECT 'global', 'all', CASE WHEN count(*) FILTER (WHERE {_has("CONFIRMED_BOTNET")}) > 3 THEN 1 END FROM finals
+), advice AS (
+  SELECT scope, subject, priority, category, replace(title, '{{}}', subject) AS title, mitre_techniques, confidence::DOUBLE AS confidence FROM ruled JOIN texts USING (scope, rule)
+)"""
 _NORMAL = """regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')"""
 _PATH = "regexp_replace(regexp_extract(url, '(?s)^([^?#]*)', 1), ';[^/]*$', '')"
 _LINE = "event_ord % 50 <> 49"
@@ -237,6 +301,15 @@ ORACLE: dict[str, str] = {
     "score_components": _all(*_FULL) + " SELECT source_ip, round(base_score, 6) AS base_score, round(combination_modifier, 6) AS combination_modifier, round(contextual_modifier, 6) AS contextual_modifier, round(global_modifier, 6) AS global_modifier, round(threat_score, 6) AS threat_score FROM scored",
     "threat_scores": _all(*_FULL) + " SELECT source_ip, actor_ord, round(threat_score, 6) AS threat_score, array_to_string(tags, ',') AS tags FROM scored",
     "top_actors": _all(*_FULL) + " SELECT source_ip, round(threat_score, 6) AS threat_score, actor_ord FROM scored ORDER BY 2 DESC, 3 LIMIT 10",
+    "density_clusters": _all(WEBLOG, LEADERS, DENSITY) + " SELECT source_ip, cluster FROM density",
+    "campaign_rollup": _all(*_FULL, CAMPAIGNS) + " SELECT campaign_id, actors, round(threat_score, 6) AS threat_score, array_to_string(tags, ',') AS primary_tags, campaign_type FROM campaigns",
+    "isolated_actors": _all(*_FULL, CAMPAIGNS) + " SELECT source_ip FROM finals WHERE list_contains(tags, 'ISOLATED_ATTACKER')",
+    "mitre_by_actor": _all(*_FULL, CAMPAIGNS, MITRE) + " SELECT source_ip, technique_id, name, tactic, 'https://attack.mitre.org/techniques/' || replace(technique_id, '.', '/') AS url FROM mitre",
+    "technique_summary": _all(*_FULL, CAMPAIGNS, MITRE) + " SELECT tactic, array_to_string(list_sort(list(DISTINCT technique_id)), ',') AS technique_ids, count(DISTINCT source_ip) AS actors FROM mitre GROUP BY tactic",
+    "recommendations": _all(*_FULL, CAMPAIGNS, ADVICE) + " SELECT * FROM advice",
+    "recommendation_summary": _all(*_FULL, CAMPAIGNS, ADVICE) + """ SELECT count(*) AS total_recommendations, count(*) FILTER (WHERE priority = 'HIGH') AS high_priority, count(*) FILTER (WHERE priority = 'MEDIUM') AS medium_priority, count(*) FILTER (WHERE priority = 'LOW') AS low_priority,
+  count(*) FILTER (WHERE category = 'IMMEDIATE_ACTION') AS immediate_actions, count(*) FILTER (WHERE category = 'INVESTIGATION') AS investigations, count(*) FILTER (WHERE category = 'MONITORING') AS monitoring FROM advice""",
+    "report_summary": _all(*_FULL, CAMPAIGNS) + " SELECT count(*) AS total_actors, (SELECT count(*) FROM campaigns) AS total_campaigns, count(*) FILTER (WHERE threat_score > 7) AS high_threat_actors, count(*) FILTER (WHERE len(tags) > 0) AS tagged_actors FROM finals",
     "feed_stats": "SELECT CAST(7 AS BIGINT) AS total_feeds, CAST(6 AS BIGINT) AS enabled_feeds, CAST(13 AS BIGINT) AS total_patterns",
     "ioc_matches": _all(WEBLOG) + """, feeds(ord, feed, feed_type, pattern, confidence, says) AS (
   VALUES (0, 'bad_agents', 'user_agent', 'sqlmap', 0.9::DOUBLE, 'Malicious user agent'), (0, 'bad_agents', 'user_agent', 'nikto', 0.9, 'Malicious user agent'),
