@@ -42,3 +42,14 @@ def test_entry_points(spark):
 
     assert e.entry(spark).columns == ["source_ip", "actor_ord", "threat_score", "tags"]
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 40
+
+
+def test_log_lines_of_users_beyond_two_bytes(spark, tmp_path):
+    """The third number of a source's name passes 255 at 65,536 users; its line has a valid address nonetheless and is not rejected."""
+    from wardline.plans import queries
+
+    users = (0, 65_535, 65_536, 89_999, 16_777_216, 20_000_000)
+    rows = ",".join(f"({k}L, timestamp'2024-01-01 00:00:{k:02d}', {u}L, 'view')" for k, u in enumerate(users))
+    spark.sql(f"SELECT * FROM VALUES {rows} AS t(event_id, ts, user_id, event_type)").write.parquet(f"{tmp_path}/events.parquet")
+    assert queries.rejected_lines(spark, str(tmp_path)).count() == 0
+    assert {r.source_ip for r in queries.parsed_log(spark, str(tmp_path)).collect()} == {f"10.0.{u // 256}.{u % 256}" for u in users}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,21 @@ def weblog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_address(source: Column) -> Column:
+    """The IPv4 address of a source of the web log: the third number of a name grows with the user, beyond 255 it carries into the second and the first."""
+    third, text = F.split_part(source, F.lit("."), F.lit(3)).cast("long"), lambda c: c.cast("string")
+    return F.concat(text(10 + F.floor(third / 65536)), F.lit("."), text(F.floor(third / 256) % 256), F.lit("."), text(third % 256), F.lit("."), F.split_part(source, F.lit("."), F.lit(4)))
+
+
+def as_source(address: Column) -> Column:
+    """The web log's name of an address that ``as_address`` made."""
+    first, second, third = (F.split_part(address, F.lit("."), F.lit(k)).cast("long") for k in (1, 2, 3))
+    return F.concat(F.lit("10.0."), (((first - 10) * 256 + second) * 256 + third).cast("string"), F.lit("."), F.split_part(address, F.lit("."), F.lit(4)))
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The web log as nginx lines (event_ord, value), every 50th spoilt; URLs are cut at their first blank."""
+    """The web log as nginx lines (event_ord, value) with valid addresses, every 50th spoilt; URLs are cut at their first blank."""
     w = weblog(spark, sf_dir)
     when = F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss")
-    line = F.concat(F.col("source_ip"), F.lit(" - - ["), when, F.lit(' +0000] "'), F.col("method"), F.lit(" "), F.split_part("url", F.lit(" "), F.lit(1)), F.lit(' HTTP/1.1" '), F.col("status_code"), F.lit(' 123 "-" "'), F.coalesce("user_agent", F.lit("")), F.lit('"'))
+    line = F.concat(as_address(F.col("source_ip")), F.lit(" - - ["), when, F.lit(' +0000] "'), F.col("method"), F.lit(" "), F.split_part("url", F.lit(" "), F.lit(1)), F.lit(' HTTP/1.1" '), F.col("status_code"), F.lit(' 123 "-" "'), F.coalesce("user_agent", F.lit("")), F.lit('"'))
     return w.select("event_ord", F.when(F.col("event_ord") % 50 == 49, F.concat(F.lit("x"), line)).otherwise(line).alias("value"))
