@@ -233,3 +233,38 @@ def test_techniques_indicators_and_advice(spark):
     advice = recommend.recommendations(rows, none, aliases=True)
     assert [(r.subject, r.priority) for r in recommend.in_order(advice).collect()] == [("ip0", "HIGH"), ("campaign_1", "HIGH"), ("ip2", "LOW")]
     assert recommend.recommendation_summary(advice).first().asDict() == {"total_recommendations": 3, "high_priority": 2, "medium_priority": 0, "low_priority": 1, "immediate_actions": 2, "investigations": 0, "monitoring": 1}
+
+
+def test_twins_are_one_node(spark, monkeypatch):
+    """Actors with equal sets are worked on as one: few edges between classes, and the same edges and metrics as by plain algorithms."""
+    monkeypatch.setattr(graph, "NUMBERS", 8)
+    rnd = random.Random(5)
+    kinds = [([f"/u{x}" for x in rnd.sample(range(9), rnd.randrange(1, 5))], rnd.choice([[], ["x"], ["x", "y"]])) for _ in range(12)] + [(["/alone"], []), ([None, "/u1"], ["x"])]
+    sets = {f"10.0.{c}.{k}": kind for k, kind in enumerate(kinds) for c in range(rnd.randrange(1, 7))}
+    rows = [(ip, s, u, a) for ip, (us, agents) in sets.items() for s, u in enumerate(us) for a in agents or [None]]
+    e = events(spark, rows)
+
+    def weight(x, y):
+        known = {u for u in x[0] if u} & {u for u in y[0] if u}
+        return 0.7 * len(known) / (len(x[0]) + len(y[0]) - len(known)) + (0.3 * len({*x[1]} & {*y[1]}) / len({*x[1], *y[1]}) if x[1] and y[1] else 0.0)
+
+    for threshold in (0.3, 0.1, 0.8):
+        want = {(a, b): weight(sets[a], sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
+        want = {k: w for k, w in want.items() if w > threshold}
+        got = {(r.src, r.dst): r.weight for r in graph.similarity_edges(e, threshold).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got), threshold
+        members, classes, edges = graph.twin_graph(e, threshold)
+        assert classes.agg(F.sum("twins")).first()[0] == len(sets)
+        if threshold == 0.3:
+            singles = sum(None in us for us, _ in sets.values())
+            assert classes.count() <= 13 + singles and edges.count() < len(want) / 3
+        found = {r.source_ip: r for r in graph.for_all(members, graph.graph_metrics(classes, edges)).collect()}
+        triangles = {r.source_ip: r.triangles for r in graph.for_all(members, graph.clustering_coefficients(classes, edges)).collect()}
+        central, near = brandes(sets, want), defaultdict(set)
+        for a, b in want:
+            near[a].add(b)
+            near[b].add(a)
+        for x in sets:
+            linked = sum(b in near[a] for a, b in itertools.combinations(near[x], 2))
+            n = len(near[x])
+            assert (found[x].degree, triangles[x]) == (n, linked) and found[x].clustering == pytest.approx(2 * linked / (n * (n - 1)) if n > 1 else 0.0) and found[x].centrality == pytest.approx(central[x], abs=1e-12), (threshold, x)
