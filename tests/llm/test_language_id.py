@@ -62,3 +62,18 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert got[90005].lang_pred != "und"
     assert language_id(docs.limit(0), PATH).count() == 0
     assert {r.lang_pred for r in language_id(odd.withColumn("lang", odd.text.substr(0, 0)).selectExpr("doc_id", "text", "cast(null as string) lang"), PATH).collect()} == {"und"}
+
+
+def test_short_words_need_one_look_up_a_step(monkeypatch):
+    """Words that are never rescaled: the same sums as with rescaling, by one look-up a step in the table of beginnings."""
+    from wardline.llm import language_id as module
+
+    pieces = sorted({SPACE, SPACE + "a", "a", "b", "ab", "ba", "abba"})
+    lattice = Lattice(pieces)
+    tables = [[0.01 * (k + 1) / (j + 1) for k in range(len(pieces))] + [UNKNOWN] for j in range(3)]
+    words = [SPACE + "abbaabxab", SPACE + "b", SPACE + "ab" * 7, SPACE + "xyz"]
+    lattice.index = None  # only the table of beginnings is asked
+    short = [lattice.log_probability(w, tables) for w in words]
+    monkeypatch.setattr(module, "STRIDE", 2)
+    rescaled = [lattice.log_probability(w, tables) for w in words]
+    assert all(math.isclose(x, y, rel_tol=1e-12) for a, b in zip(short, rescaled, strict=True) for x, y in zip(a, b, strict=True))

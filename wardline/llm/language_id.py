@@ -52,19 +52,21 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.pieces, self.index = pieces, {p: i for i, p in enumerate(pieces)}
-        self.starts = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        #: The number of every piece, -2 for other beginnings of pieces: one look-up a step.
+        self.starts = dict.fromkeys((p[:n] for p in pieces for n in range(1, len(p) + 1)), -2) | self.index
         self.longest = max(map(len, pieces), default=1)
 
     def arcs(self, word: str) -> Iterator[tuple[int, int, int]]:
         """(begin, end, piece) of all pieces in the word, by begin; piece -1 is a character without any piece of its own."""
-        for begin in range(len(word)):
-            if word[begin] not in self.index:
+        find, n = self.starts.get, len(word)
+        for begin in range(n):
+            if find(word[begin], -2) < 0:
                 yield begin, begin + 1, -1
-            for end in range(begin + 1, len(word) + 1):
-                part = word[begin:end]
-                if part not in self.starts:
+            for end in range(begin + 1, n + 1):
+                piece = find(word[begin:end])
+                if piece is None:
                     break
-                if (piece := self.index.get(part)) is not None:
+                if piece >= 0:
                     yield begin, end, piece
 
     def log_probability(self, word: str, tables: list[list[float]]) -> list[float]:
@@ -73,6 +75,14 @@ class Lattice:
         The sums that are still open are rescaled every ``STRIDE`` characters, so that they can't underflow in words of any length.
         """
         n, due = len(word), STRIDE
+        if n <= STRIDE:  # nothing is rescaled: a language at a time, in the same order of sums
+            arcs, out = list(self.arcs(word)), []
+            for p in tables:
+                alpha = [1.0] + [0.0] * n
+                for begin, end, piece in arcs:
+                    alpha[end] += alpha[begin] * p[piece]
+                out.append(math.log(alpha[n]))
+            return out
         alphas, out = [[1.0] + [0.0] * n for _ in tables], [0.0] * len(tables)
         for begin, end, piece in self.arcs(word):  # in order of their begin: a prefix is complete before it is used
             if begin >= due:
