@@ -268,3 +268,32 @@ def test_twins_are_one_node(spark, monkeypatch):
             linked = sum(b in near[a] for a, b in itertools.combinations(near[x], 2))
             n = len(near[x])
             assert (found[x].degree, triangles[x]) == (n, linked) and found[x].clustering == pytest.approx(2 * linked / (n * (n - 1)) if n > 1 else 0.0) and found[x].centrality == pytest.approx(central[x], abs=1e-12), (threshold, x)
+
+
+def test_graph_reads_events_once(spark):
+    """The classes of twins and their edges are made from one pass over the events."""
+    seen, rows = spark.sparkContext.accumulator(0), [(f"10.0.0.{k % 6}", f"/{k % 4}", "a" if k % 2 else None) for k in range(24)]
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "source_ip string, url string, user_agent string"
+    members, _, edges = graph.twin_graph(spark.createDataFrame(rows, schema).mapInArrow(counted, schema))
+    assert members.count() == 6 and edges.count() >= 0 and seen.value == 24
+
+
+def test_only_scanners_are_numbered(spark):
+    """Rows of other users aren't dealt out by user to be numbered; all have the values that SQL gives them."""
+    import duckdb
+
+    from wardline.plans import oracle, queries, weblog
+
+    sf = "/root/testdata/sf0.001"
+    below = weblog.weblog(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
+    assert "<=> 0" in below.split("Relation", 1)[0]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = sorted(con.execute(oracle.ORACLE["url_frequencies"]).fetchall())
+    assert sorted(map(tuple, queries.url_frequencies(spark, sf).collect())) == want

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.components import connected_components
-from wardline.functions.trail import checkpoint, evidence, tag_with
+from wardline.functions.trail import checkpoint, evidence, tag_with, written
 
 SOURCE = "GraphDetector"
 SIMILARITY, CENTRALITY, CLUSTERING = 0.3, 0.3, 0.5
@@ -37,9 +37,15 @@ def _weight(urls, nu_a, nu_b, agents, na_a, na_b):
     return URL_WEIGHT * by_url + AGENT_WEIGHT * by_agent
 
 
-def _items(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct (source_ip, item) of URLs and of non-empty user agents."""
-    return events.select("source_ip", F.col("url").alias("item")).distinct(), events.filter("user_agent <> ''").select("source_ip", F.col("user_agent").alias("item")).distinct()
+def _items(events: DataFrame) -> DataFrame:
+    """Distinct (source_ip, of, item) of URLs (of 0) and of non-empty user agents (of 1), written once from one pass over the events."""
+    each = F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("url").alias("item")), F.struct(F.lit(1).alias("of"), F.col("user_agent").alias("item"))))
+    return written(events.select("source_ip", each.alias("x")).select("source_ip", "x.*").filter("of = 0 or item <> ''").distinct())
+
+
+def _parted(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source_ip, item) of URLs and of user agents."""
+    return tuple(items.filter(F.col("of") == k).select("source_ip", "item") for k in (0, 1))
 
 
 def _signature(items: DataFrame, name: str) -> DataFrame:
@@ -48,12 +54,12 @@ def _signature(items: DataFrame, name: str) -> DataFrame:
     return items.select("source_ip", "item", F.sha2("item", 256).alias("h")).groupBy("source_ip").agg(F.count("*").alias(f"n{name}"), F.count("item").alias(f"known{name}"), *sums)
 
 
-def twins(events: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(source_ip, twin, own): twin is the smallest source with the same sets of URLs and user agents, own the weight between twins.
+def twins(items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(source_ip, twin, own) of ``_items``: twin is the smallest source with the same sets of URLs and user agents, own the weight between twins.
 
     Sets that aren't similar to themselves (the threshold is high, or a URL is null) have no twins.
     """
-    urls, agents = _items(events)
+    urls, agents = _parted(items)
     rows = _signature(urls, "u").join(_signature(agents, "a"), "source_ip", "left").fillna(0, ["na", "knowna"])
     key = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c != "source_ip"))
     rows = rows.withColumn("own", _weight("knownu", "nu", "nu", "knowna", "na", "na"))
@@ -65,10 +71,11 @@ def twin_graph(events: DataFrame, threshold: float = SIMILARITY, nodes: DataFram
     """Members (source_ip, twin, own), classes (source_ip, twins) by their smallest member, and edges (src, dst, weight) between classes."""
     if threshold < 0:
         raise ValueError("a negative threshold links all pairs")
-    events = events if nodes is None else events.join(nodes.select("source_ip"), "source_ip", "left_semi")
-    members = checkpoint(twins(events, threshold))
-    classes = members.groupBy(F.col("twin").alias("source_ip")).agg(F.count("*").alias("twins"))
-    return members, checkpoint(classes), checkpoint(_edges(*_items(events.join(classes, "source_ip", "left_semi")), threshold))
+    items = _items(events)
+    items = items if nodes is None else items.join(nodes.select("source_ip"), "source_ip", "left_semi")
+    members = checkpoint(twins(items, threshold))
+    classes = checkpoint(members.groupBy(F.col("twin").alias("source_ip")).agg(F.count("*").alias("twins")))
+    return members, classes, checkpoint(_edges(*_parted(items.join(classes, "source_ip", "left_semi")), threshold))
 
 
 def similarity_edges(events: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

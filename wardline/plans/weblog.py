@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def weblog(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
     user, kind, k = F.col("user_id"), F.col("user_id") % 10, F.col("event_id") % 8
-    rows = e.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    # Only scanners' rows show their number, so the others are neither shuffled nor sorted.
+    scans = kind.eqNullSafe(F.lit(0))
+    numbered = e.filter(scans).withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    rows = numbered.unionByName(e.filter(~scans).withColumn("rn", F.lit(None).cast("int")))
     text = lambda c: c.cast("string")
     url = (
         F.when(kind == 0, F.concat(F.lit("/scan/"), text(user % 3), F.lit("/"), text(F.col("rn")), F.lit(".php")))
