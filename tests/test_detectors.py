@@ -297,3 +297,15 @@ def test_only_scanners_are_numbered(spark):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
     want = sorted(con.execute(oracle.ORACLE["url_frequencies"]).fetchall())
     assert sorted(map(tuple, queries.url_frequencies(spark, sf).collect())) == want
+
+
+@pytest.mark.parametrize("sign", [0, 1])
+def test_head_of_vectors_decides_as_the_whole(spark, sign):
+    """What the first coordinates decide is what all decide, also where coordinates are negative."""
+    rng = random.Random(5)
+    points = [[rng.random() ** 3 - 0.3 * sign for _ in range(24)] for _ in range(60)]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(points)], "ord long, point array<double>")
+    cos = lambda p, q: sum(x * y for x, y in zip(p, q)) / math.sqrt(sum(x * x for x in p) * sum(y * y for y in q))
+    want = {(i, j) for i, j in itertools.combinations(range(60), 2) if cos(points[i], points[j]) >= 0.6}
+    assert {tuple(r) for r in clusters.similar_points(df).collect()} == want and 0 < len(want) < 1770
+    assert "size(u" in clusters.similar_points(df)._jdf.queryExecution().optimizedPlan().toString() or sign
