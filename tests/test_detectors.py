@@ -309,3 +309,32 @@ def test_head_of_vectors_decides_as_the_whole(spark, sign):
     want = {(i, j) for i, j in itertools.combinations(range(60), 2) if cos(points[i], points[j]) >= 0.6}
     assert {tuple(r) for r in clusters.similar_points(df).collect()} == want and 0 < len(want) < 1770
     assert "size(u" in clusters.similar_points(df)._jdf.queryExecution().optimizedPlan().toString() or sign
+
+
+@pytest.mark.parametrize("entries", [0, 1 << 24])
+def test_nodes_with_the_same_neighbours_are_one(spark, monkeypatch, entries):
+    """Linked nodes with the same other neighbours are searched as one, and metrics are those of plain algorithms, by lists of edges as by matrices."""
+    monkeypatch.setattr(graph, "ENTRIES", entries)
+    monkeypatch.setattr(graph, "SOURCES_PER_TASK", 5)
+    rnd = random.Random(3)
+    groups = [[f"n{g}-{k:02}" for k in range(14)] for g in range(3)]
+    links = {pair for g in groups for pair in itertools.combinations(g, 2)} | {(groups[0][k], groups[1][k % 2]) for k in range(5)} | {("n2-00", "p0"), ("p0", "p1"), ("p1", "p2"), ("q0", "q1")}
+    names = sorted({x for pair in links for x in pair} | {"alone"})
+    twins = {x: rnd.randrange(1, 4) for x in names}
+    nodes, edges = spark.createDataFrame(list(twins.items()), "source_ip string, twins long"), spark.createDataFrame([(*x, 0.5) for x in sorted(links)], "src string, dst string, weight double")
+    members, merged, between = graph.alike(nodes, edges)
+    assert members.count() == len(names) and merged.count() == 13 and merged.agg(F.sum("twins")).first()[0] == sum(twins.values()) and between.count() == 12
+    each = [(x, k) for x in names for k in range(twins[x])]
+    whole = {(a, b) for a, b in itertools.combinations(each, 2) if a[0] == b[0] or (a[0], b[0]) in links or (b[0], a[0]) in links}
+    central, near = brandes(each, whole), defaultdict(set)
+    for a, b in whole:
+        near[a].add(b)
+        near[b].add(a)
+    found = {r.source_ip: r for r in graph.graph_metrics(nodes, edges).collect()}
+    triangles = {r.source_ip: r.triangles for r in graph.clustering_coefficients(nodes, edges).collect()}
+    alone = {r.source_ip: r.centrality for r in graph.betweenness(nodes, edges).collect()}
+    assert found.keys() == triangles.keys() == alone.keys() == set(names)
+    for x in names:
+        n, linked = len(near[x, 0]), sum(b in near[a] for a, b in itertools.combinations(near[x, 0], 2))
+        assert (found[x].degree, triangles[x]) == (n, linked) and found[x].clustering == pytest.approx(2 * linked / (n * (n - 1)) if n > 1 else 0.0)
+        assert found[x].centrality == pytest.approx(central[x, 0], abs=1e-12) and alone[x] == pytest.approx(central[x, 0], abs=1e-12)
