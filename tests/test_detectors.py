@@ -338,3 +338,26 @@ def test_nodes_with_the_same_neighbours_are_one(spark, monkeypatch, entries):
         n, linked = len(near[x, 0]), sum(b in near[a] for a, b in itertools.combinations(near[x, 0], 2))
         assert (found[x].degree, triangles[x]) == (n, linked) and found[x].clustering == pytest.approx(2 * linked / (n * (n - 1)) if n > 1 else 0.0)
         assert found[x].centrality == pytest.approx(central[x, 0], abs=1e-12) and alone[x] == pytest.approx(central[x, 0], abs=1e-12)
+
+
+def test_followers_are_only_compared_with_leaders(spark, monkeypatch):
+    """Many alike points make few pairs, and each follows the first leader that is similar, over several rounds."""
+    made, near = [], clusters._near
+
+    def counted(*rows):
+        made.append(near(*rows).count())
+        return near(*rows)
+
+    monkeypatch.setattr(clusters, "_near", counted)
+    monkeypatch.setattr(clusters, "FIRST", 4, raising=False)
+    rng = random.Random(2)
+    points = [[float(k % 5 == d) + rng.random() * 0.4 for d in range(5)] for k in range(5)] + [[float(rng.randrange(6) == d) + rng.random() * 0.4 for d in range(5)] for _ in range(155)]
+    rows = spark.createDataFrame([(f"ip{k}", k, p) for k, p in enumerate(points)], "source_ip string, actor_ord long, vector array<double>")
+    led = {}
+    for i in range(len(points)):
+        for j in range(i, len(points)) if i not in led else ():
+            x, y = points[i], points[j]
+            if j not in led and (i == j or sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y)) >= 0.8):
+                led[j] = i
+    assert {r.source_ip: r.leader for r in clusters.leader_clusters(rows.drop("actor_ord"), rows, 0.8).collect()} == {f"ip{k}": f for k, f in led.items()}
+    assert len(set(led.values())) > 4 and sum(made) < 600, (len(set(led.values())), made)
