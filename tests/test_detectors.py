@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from wardline.functions.trail import checkpoint
 from wardline.functions.url import add_features
 from wardline.operators import anomaly, cadence, clusters, graph, intelligence, meta, profile, recommend, rules
 
@@ -361,3 +362,11 @@ def test_followers_are_only_compared_with_leaders(spark, monkeypatch):
                 led[j] = i
     assert {r.source_ip: r.leader for r in clusters.leader_clusters(rows.drop("actor_ord"), rows, 0.8).collect()} == {f"ip{k}": f for k, f in led.items()}
     assert len(set(led.values())) > 4 and sum(made) < 600, (len(set(led.values())), made)
+
+
+def test_cut_tables_carry_no_constraints(spark):
+    """What the optimizer knows of rows isn't carried on over a cut, and the session keeps its settings."""
+    key = "spark.sql.constraintPropagation.enabled"
+    before, out = spark.conf.get(key), checkpoint(spark.range(9).filter("id > 3").withColumn("twice", F.col("id") * 2))
+    assert out._jdf.queryExecution().optimizedPlan().constraints().isEmpty() and sorted(out.collect()) == [(k, 2 * k) for k in range(4, 9)]
+    assert spark.conf.get(key) == before
