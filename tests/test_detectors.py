@@ -370,3 +370,60 @@ def test_cut_tables_carry_no_constraints(spark):
     before, out = spark.conf.get(key), checkpoint(spark.range(9).filter("id > 3").withColumn("twice", F.col("id") * 2))
     assert out._jdf.queryExecution().optimizedPlan().constraints().isEmpty() and sorted(out.collect()) == [(k, 2 * k) for k in range(4, 9)]
     assert spark.conf.get(key) == before
+
+
+@pytest.fixture
+def in_blocks(monkeypatch):
+    """Small tables are worked on in blocks too, by several products and tasks."""
+    monkeypatch.setattr(graph, "DENSE", -1)
+    monkeypatch.setattr(graph.blocks, "STEP", 2)
+    monkeypatch.setattr(graph.blocks, "ROWS", 3)
+    monkeypatch.setattr(graph.blocks, "COLUMNS", 2)
+    monkeypatch.setattr(graph.blocks, "SOURCES_PER_TASK", 4)
+    monkeypatch.setattr(graph.blocks, "PARTS", 4)
+
+    def no_pairs(*_):
+        raise AssertionError("pairs of actors are joined")
+
+    monkeypatch.setattr(graph, "_overlap", no_pairs)
+
+
+def test_blocks_are_exact(spark, in_blocks):
+    """Edges and metrics without a join of pairs are those of plain algorithms, over several blocks."""
+    rnd = random.Random(11)
+    sets = {f"10.{k % 3}.0.{k}": ([f"/u{x}" for x in rnd.sample(range(12), rnd.randrange(1, 6))], rnd.choice([[], ["x"], ["x", "y"], ["z"]])) for k in range(60)}
+    sets |= {"10.9.0.1": (["/alone"], []), "10.9.0.2": ([None, "/u1"], ["x"]), "10.9.0.3": (["/p", "/q"], ["w"]), "10.9.0.4": (["/p", "/q"], ["w"]), "10.9.0.5": ([None], ["x"])}
+    e = events(spark, [(ip, s, u, a) for ip, (us, agents) in sets.items() for s, u in enumerate(us) for a in agents or [None]])
+
+    def weight(x, y):
+        known = {u for u in x[0] if u} & {u for u in y[0] if u}
+        return 0.7 * len(known) / (len(x[0]) + len(y[0]) - len(known)) + (0.3 * len({*x[1]} & {*y[1]}) / len({*x[1], *y[1]}) if x[1] and y[1] else 0.0)
+
+    for threshold in (0.3, 0.1, 0.6):
+        want = {(a, b): weight(sets[a], sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
+        want = {k: w for k, w in want.items() if w > threshold}
+        rows = graph.similarity_edges(e, threshold).collect()
+        got = {(r.src, r.dst): r.weight for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got), threshold
+        central, near = brandes(sets, want), defaultdict(set)
+        for a, b in want:
+            near[a].add(b)
+            near[b].add(a)
+        found = {r.source_ip: r for r in graph.metrics(e, threshold).collect()}
+        flat = {r.source_ip: r.triangles for r in graph.metrics(e, threshold, wanted=graph.clustering_coefficients).collect()}
+        assert found.keys() == flat.keys() == sets.keys()
+        for x in sets:
+            n, linked = len(near[x]), sum(b in near[a] for a, b in itertools.combinations(near[x], 2))
+            assert (found[x].degree, found[x].triangles, flat[x]) == (n, linked, linked) and found[x].clustering == pytest.approx(2 * linked / (n * (n - 1)) if n > 1 else 0.0), (threshold, x)
+            assert found[x].centrality == pytest.approx(central[x], abs=1e-12), (threshold, x)
+
+
+def test_blocks_hold_far_nodes(spark, in_blocks):
+    """Chains and rings of actors have long shortest paths, in one component over several tasks."""
+    links = [(k, k + 1) for k in range(9)] + [(20 + k, 20 + (k + 1) % 7) for k in range(7)]
+    nodes = sorted({x for link in links for x in link})
+    e = events(spark, [(f"10.0.0.{x}", s, f"/{min(a, b)}-{max(a, b)}", None) for x in nodes for s, (a, b) in enumerate([link for link in links if x in link])])
+    want = {tuple(sorted((f"10.0.0.{a}", f"10.0.0.{b}"))): 1 for a, b in links}
+    central = brandes([f"10.0.0.{x}" for x in nodes], want)
+    assert {(r.src, r.dst) for r in graph.similarity_edges(e, 0.2).collect()} == want.keys()
+    assert {r.source_ip: r.centrality for r in graph.metrics(e, 0.2, wanted=graph.betweenness).collect()} == pytest.approx(central)

@@ -5,7 +5,8 @@ and metrics are made between classes of twins, exactly, by weights; only the lis
 
 Only actors that share a URL can be similar enough for an edge at a threshold of 0.3 or more (user agents alone weigh
 0.3), so candidate pairs come from an equi-join on distinct (actor, URL) rows with counts; for smaller thresholds pairs
-that share a user agent join them. Very popular URLs are split by AQE's skew join.
+that share a user agent join them. Very popular URLs are split by AQE's skew join. Where that join would make more than
+``DENSE`` rows, ``blocks`` does the same without any join of pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.components import connected_components
 from wardline.functions.trail import checkpoint, evidence, tag_with, written
+from wardline.operators import blocks
 
 SOURCE = "GraphDetector"
 SIMILARITY, CENTRALITY, CLUSTERING = 0.3, 0.3, 0.5
@@ -25,6 +27,8 @@ URL_WEIGHT, AGENT_WEIGHT = 0.7, 0.3
 SOURCES_PER_TASK, NUMBERS = 256, 1 << 22
 #: A component is a matrix of at most so many entries, if a share of 1 / SPARSE of them are edges; else a list of edges.
 ENTRIES, SPARSE = 1 << 24, 64
+#: Pairs of actors that share a URL, counted for each URL, beyond which the graph is made in blocks.
+DENSE = 1 << 25
 
 
 def _overlap(items: DataFrame) -> DataFrame:
@@ -69,19 +73,27 @@ def twins(items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     return keyed.join(keyed.groupBy("key").agg(F.min("source_ip").alias("twin")), "key").select("source_ip", "twin", "own")
 
 
-def twin_graph(events: DataFrame, threshold: float = SIMILARITY, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (source_ip, twin, own), classes (source_ip, twins) by their smallest member, and edges (src, dst, weight) between classes."""
+def _classes(events: DataFrame, threshold: float, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (source_ip, twin, own), classes (source_ip, twins) by their smallest member, and the classes' items."""
     if threshold < 0:
         raise ValueError("a negative threshold links all pairs")
     items = _items(events)
     items = items if nodes is None else items.join(nodes.select("source_ip"), "source_ip", "left_semi")
     members = checkpoint(twins(items, threshold))
     classes = checkpoint(members.groupBy(F.col("twin").alias("source_ip")).agg(F.count("*").alias("twins")))
-    return members, classes, checkpoint(_edges(*_parted(items.join(classes, "source_ip", "left_semi")), threshold))
+    return members, classes, items.join(classes, "source_ip", "left_semi")
+
+
+def twin_graph(events: DataFrame, threshold: float = SIMILARITY, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (source_ip, twin, own), classes (source_ip, twins) by their smallest member, and edges (src, dst, weight) between classes."""
+    members, classes, items = _classes(events, threshold, nodes)
+    return members, classes, checkpoint(_edges(*_parted(items), threshold))
 
 
 def similarity_edges(events: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(src, dst, weight) with src < dst: 0.7 x Jaccard of URLs + 0.3 x Jaccard of non-empty user agents, above the threshold."""
+    if threshold >= 0 and blocks.shared_pairs(items := _items(events)) > DENSE:
+        return blocks.edges(blocks.place(items), threshold, URL_WEIGHT, AGENT_WEIGHT)
     members, _, edges = twin_graph(events, threshold)
     one, two = members.select(F.col("twin").alias("src"), F.col("source_ip").alias("a")), members.select(F.col("twin").alias("dst"), F.col("source_ip").alias("b"))
     between = edges.join(one, "src").join(two, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight")
@@ -238,6 +250,15 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return for_all(members, _clustering(nodes, edges, found).drop("triangles").join(_centrality(nodes, found, _total(nodes)), "source_ip"))
 
 
+def metrics(events: DataFrame, threshold: float = SIMILARITY, nodes: DataFrame | None = None, wanted=None) -> DataFrame:
+    """What ``wanted`` (``graph_metrics``, if none is given) says of each actor of the events."""
+    wanted = wanted or graph_metrics
+    members, classes, items = _classes(events, threshold, nodes)
+    if blocks.shared_pairs(items) > DENSE:
+        return for_all(members, blocks.metrics(blocks.place(items), classes, threshold, URL_WEIGHT, AGENT_WEIGHT, deep=wanted is not clustering_coefficients))
+    return for_all(members, wanted(classes, checkpoint(_edges(*_parted(items), threshold))))
+
+
 def for_all(members: DataFrame, found: DataFrame) -> DataFrame:
     """Metrics of classes given to each of their members."""
     return members.select("source_ip", "twin").join(found.withColumnRenamed("source_ip", "twin"), "twin").drop("twin")
@@ -247,8 +268,7 @@ def detect(actors: DataFrame, events: DataFrame, similarity: float = SIMILARITY,
     """Tagged actors with their centrality, and the summary; fewer than two actors give no summary."""
     if actors.count() < 2:
         return actors, None
-    members, classes, edges = twin_graph(events, similarity, actors)
-    found = for_all(members, graph_metrics(classes, edges)).select("source_ip", F.col("clustering").alias("_clustering"), F.col("centrality").alias("_centrality"))
+    found = metrics(events, similarity, actors).select("source_ip", F.col("clustering").alias("_clustering"), F.col("centrality").alias("_centrality"))
     rows = checkpoint(actors.join(found, "source_ip").withColumn("centrality", F.col("_centrality")).drop("_centrality"))
     leads = (F.col("centrality") > centrality) & (F.col("_clustering") < clustering)
     member = ~leads & (F.col("_clustering") > clustering)
